@@ -154,6 +154,7 @@ class Codec:
         self.joins = self.v.spec.get("decoder") is None
         self.run = SEGMENT if self.keeps_white else RUN
         self.plain = (self.v.spec["normalizer"], self.v.spec["pre_tokenizer"]) in COMMON_FILES
+        self.shown = Memo(self.show, 250_000)
         self.word_ids = Memo(lambda w: self.encoder.ids(self.v.word(w)), 250_000)
 
     def pieces(self, run: str):
@@ -181,6 +182,11 @@ class Codec:
                 out += self.word_ids[p]
         return out
 
+    def show(self, run: str) -> tuple[str, int, str]:
+        """A run's ids as text, their number, and what they decode to."""
+        ids = self.run_ids(run)
+        return " ".join(map(str, ids)), len(ids), self.decode(ids)
+
     def encode(self, text: str | None) -> list[int]:
         return [i for run in self.run.findall(text or "") for i in self.run_ids(run)]
 
@@ -236,24 +242,13 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     leave the worker, and needs no shuffle. Needs a file whose tokens decode one by one (no decoder in it); others go by encode_texts.
     """
 
-    state: dict = {}
-
-    def run_value(run):
-        c = state["codec"]
-        ids = c.run_ids(run)
-        return " ".join(map(str, ids)), len(ids), c.decode(ids)
-
     def rows(text):
-        if not state:
-            state["codec"] = codec(path)
-            state["memo"] = Memo(run_value, 200_000)
-            state["join"] = " " if state["codec"].joins else ""
-        c = state["codec"]
+        c = codec(path)
         if not c.joins:
             ids = c.encode(text)
             n, shown, decoded = len(ids), " ".join(map(str, ids)), c.decode(ids)
         else:
-            made = list(map(state["memo"].__getitem__, c.run.findall(text or "")))
+            made = list(map(c.shown.__getitem__, c.run.findall(text or "")))
             n = sum([m[1] for m in made])
             shown, decoded = " ".join([m[0] for m in made]), " ".join([m[2] for m in made])
         return n, hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
