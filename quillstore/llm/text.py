@@ -92,6 +92,22 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of at most so many bytes on disk are broadcast.
+SMALL = 16 << 20
+
+
+def attached(docs: DataFrame, table: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """docs joined with a table that kept() wrote. The table's size is looked up: a small one is broadcast, so texts stay where they are; else both are dealt by key."""
+    spark = docs.sparkSession
+    files = table.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    else:
+        size = 0
+    return docs.join(F.broadcast(table) if size <= SMALL else table, on, how)
+
+
 def drop_scratch(spark: SparkSession, older_than_s: float = 86_400) -> int:
     """Deletes the scratch tables in the shared folder that are older than this; the number deleted."""
     jvm = spark._jvm
@@ -110,4 +126,4 @@ def spread(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
-__all__ = ["DOCUMENT_COLUMNS", "F", "Memo", "RUN", "SEGMENT", "drop_scratch", "kept", "per_text", "scratch", "spread", "texts", "words"]
+__all__ = ["DOCUMENT_COLUMNS", "F", "Memo", "RUN", "SEGMENT", "attached", "drop_scratch", "kept", "per_text", "scratch", "spread", "texts", "words"]

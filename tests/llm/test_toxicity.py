@@ -13,7 +13,7 @@ def made(spark, n=400):
         bad = i % 5 == 0
         if bad:
             for _ in range(3):
-                words[rng.randrange(len(words))] = rng.choice(["vile", "nasty", "foulest", "foulish"])
+                words[rng.randrange(len(words))] = rng.choice(["vile", "nasty", "foulest", "foulers"])
         docs.append((i, " ".join(words), 0.5))
         labels.append((i, 1, int(bad)))
     return spark.createDataFrame(docs, "doc_id long, text string, score double"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {i for i in range(n) if i % 5 == 0}
@@ -32,7 +32,7 @@ def test_held_out_accuracy_and_columns(spark):
 def test_unseen_words_lean_on_their_stem(spark):
     docs, labels, _ = made(spark)
     model = toxicity.learn(docs, labels)
-    assert model.score("w1 w2 foulness w3") > model.score("w1 w2 zebra w3")
+    assert model.score("w1 w2 foulex w3") > model.score("w1 w2 zebra w3")
     assert abs(model.score("zebra") - model.score("")) < 1e-9
 
 
