@@ -275,3 +275,17 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     joined = components(links(nodes, block, percent))
     named = groups.join(joined, "node", "left").select(F.col("hi").alias("g_hi"), F.col("lo").alias("g_lo"), F.coalesce("component", "node").alias("component"))
     return found.join(named, (found["hi"] == F.col("g_hi")) & (found["lo"] == F.col("g_lo")) & (found["n_shingles"] > 0) & found["doc_id"].isNotNull(), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all columns, of one document of each group: that of the smallest doc_id, one row of it. Rows of a null doc_id stay.
+
+    Only ids are joined to texts; texts are dealt by key only where a doc_id has several rows.
+    """
+    found = kept(join(docs, n, percent))
+    gone = kept(found.where("component_id <> doc_id").select("doc_id").distinct())
+    several = kept(found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    stay = attached(docs, gone, "doc_id", "left_anti")
+    others = [c for c in docs.columns if c != "doc_id"]
+    first = attached(stay, several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
+    return attached(stay, several, "doc_id", "left_anti").unionByName(first.select(*docs.columns))

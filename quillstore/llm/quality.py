@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import attached
 from .text import kept as written
 
 SYMBOLS = "#*$%&|<>"
@@ -63,13 +64,15 @@ def _repeat_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, lang, source and the counts of every row. A null text has no words and no lines."""
-    one = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[lang_col].alias("lang"), docs[source_col].alias("source"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    """doc_id, lang, source, key and the counts of every row. A null text has no words and no lines. Rows of equal inputs have equal keys."""
+    inputs = [docs[id_col].cast("long"), docs[lang_col], docs[source_col], docs[text_col]]
+    one = docs.select(inputs[0].alias("doc_id"), inputs[1].alias("lang"), inputs[2].alias("source"), F.coalesce(inputs[3], F.lit("")).alias("text"), F.xxhash64(*inputs).alias("key"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     split = one.select(
         "doc_id",
         "lang",
         "source",
+        "key",
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
@@ -79,6 +82,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         "doc_id",
         "lang",
         "source",
+        "key",
         F.col("words.n").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -127,24 +131,36 @@ def fences(sketch: DataFrame, rules: Rules = Rules()) -> DataFrame:
     names = [name for name, _ in rules.margins]
     own = level("lang", "source").alias("o")
     lang = level("lang").withColumnsRenamed({n: f"{n}_l" for n in [*names, "rows"]}).withColumnRenamed("lang", "lang_l").alias("l")
-    every = level().withColumnsRenamed({n: f"{n}_a" for n in names}).drop("rows")
-    joined = own.join(lang, F.col("o.lang").eqNullSafe(F.col("lang_l")), "left").join(F.broadcast(every), how="left")  # one row
+    every = level().withColumnsRenamed({n: f"{n}_a" for n in names}).drop("rows").withColumn("all_a", F.lit(1))
+    joined = own.join(lang, F.col("o.lang").eqNullSafe(F.col("lang_l")), "left").withColumn("all_o", F.lit(1)).join(every, F.col("all_o") == F.col("all_a"), "left")
     pick = lambda n: F.when(F.col("o.rows") >= rules.min_rows, F.col(f"o.{n}")).when(F.col("rows_l") >= rules.min_rows, F.col(f"{n}_l")).otherwise(F.col(f"{n}_a"))
     return joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), *(pick(n).alias(n) for n in names))
 
 
+def judged(docs: DataFrame, rules: Rules = Rules(), **columns: str) -> DataFrame:
+    """verdicts() and each row's key."""
+    found = written(features(docs, **columns))
+    limits = fences(sketches(found, rules), rules).withColumnsRenamed({"lang": "g_lang", "source": "g_source"} | {n: f"max_{n}" for n, _ in rules.margins})
+    joined = found.join(limits, found["lang"].eqNullSafe(F.col("g_lang")) & found["source"].eqNullSafe(F.col("g_source")), "left")
+    within = F.forall(F.arrays_zip(_ratios(rules).alias("r"), F.array(*(F.col(f"max_{n}") for n, _ in rules.margins)).alias("m")), lambda x: x["r"]["bucket"] <= x["m"])
+    failed = _base_failed(rules)
+    return joined.select("key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(False))).alias("kept"))
+
+
 def verdicts(docs: DataFrame, rules: Rules = Rules(), **columns: str) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row; repeated rows repeat, null doc_id, lang and source are values of their own.
 
     Empty tables give empty results; texts without words fail the base rules. The counts are written once, as both the sketches and the
     join read them. The join is by (lang, source): one side has a row for each group, and Spark broadcasts it only if it is small.
     """
-    found = written(features(docs, **columns))
-    limits = fences(sketches(found, rules), rules).withColumnsRenamed({"lang": "g_lang", "source": "g_source"} | {n: f"max_{n}" for n, _ in rules.margins})
-    joined = found.join(limits, found["lang"].eqNullSafe(F.col("g_lang")) & found["source"].eqNullSafe(F.col("g_source")), "left")
-    within = F.forall(F.arrays_zip(_ratios(rules).alias("r"), F.array(*(F.col(f"max_{n}") for n, _ in rules.margins)).alias("m")), lambda x: x["r"]["bucket"] <= x["m"])
-    failed = _base_failed(rules)
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(False))).alias("kept"))
+    return judged(docs, rules, **columns).drop("key")
+
+
+def good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs, with all columns, that verdicts() keeps. Only the keys of rejected rows are joined."""
+    bad = written(judged(docs, rules).where(~F.col("kept")).select(F.col("key").alias("bad_key"), F.coalesce("doc_id", F.lit(-1)).alias("bad_id")).distinct())
+    keyed = docs.withColumns({"bad_key": F.xxhash64(docs["doc_id"].cast("long"), docs["lang"], docs["source"], docs["text"]), "bad_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(-1))})
+    return attached(keyed, bad, ["bad_key", "bad_id"], "left_anti").drop("bad_key", "bad_id")
 
 
 #: The rows of verdicts() with default rules over documents.

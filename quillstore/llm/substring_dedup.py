@@ -253,3 +253,23 @@ def kept_texts(docs: DataFrame, window: int = WINDOW, digest: bool = False, id_c
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["doc_id", "n_words", "n_removed", last])
 
     return attached(own, repeats(own, window), ["doc_id", "key"], "left").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")
+
+
+def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs with all columns: where words go, text is what stays and n_chars its length; other texts don't change."""
+    own = texts(docs).withColumn("key", F.xxhash64("text"))
+    keyed = docs.withColumn("key", F.xxhash64(docs["text"].cast("string")))
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            new, changed = [], []
+            for text, spans, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "ranges", "copy")), strict=True):
+                changed.append(bool(copy or spans))
+                new.append(b" ".join(without(words(text), spans, copy, window)).decode("utf-8", "surrogatepass") if changed[-1] else text)
+            made = {"text": pa.array(new, pa.string())}
+            if "n_chars" in names:
+                made["n_chars"] = pa.array([len(t) if x else n for t, x, n in zip(new, changed, batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in names], names=names)
+
+    return attached(keyed, repeats(own, window), ["doc_id", "key"], "left").mapInArrow(run, docs.schema)

@@ -174,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> M
     if model.words:
         pairs = rows.select("doc_id", "text", "toxic").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([model.ratio(t) for t in b.column("text").to_pylist()], pa.float64()), b.column("toxic")], names=["x", "y"]) for b in batches), "x double, y int").collect()
         x, y = np.array([r["x"] for r in pairs]), np.array([r["y"] for r in pairs], float)
-        model.slope, model.shift = fitted(x, y)
+        model.slope, model.shift = map(float, fitted(x, y))
     rows.unpersist()
     return model
 
@@ -193,3 +193,14 @@ def scores(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_
     schema = "doc_id long, score double, predicted int"
     found = texts(docs, id_col, text_col).mapInArrow(per_text(schema, rows, ["score", "predicted"]), schema)
     return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", "predicted")
+
+
+def harmless(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
+    """The rows of docs, with all columns, whose text scores below the threshold. One pass, no shuffle; rows with a null text stay."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, options))  # at most 3 * options.entries ratios
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([model.value.score(t) < options.threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
