@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, media, packing, quality, substring_dedup, token_count, toxicity
+from . import bpe, jaccard_join, license_scan, media, packing, quality, substring_dedup, token_count, toxicity, url_rules
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,14 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_texts(table(spark, sf_dir, "documents"), digest=True)
 
 
+#: The listed rules: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -52,9 +64,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substrings": op2_substrings,
+    "op3_url_rules": op3_url_rules,
     "op4_jaccard": op4_jaccard,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_licenses": op7_licenses,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
