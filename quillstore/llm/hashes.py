@@ -118,3 +118,10 @@ def first_of_runs(*sorted_columns: np.ndarray) -> np.ndarray:
         for c in sorted_columns:
             new[1:] |= c[1:] != c[:-1]
     return np.flatnonzero(new)
+
+
+def grouped(keys: np.ndarray, columns: list[np.ndarray], groups: int) -> pa.RecordBatch:
+    """One row for each group of spread 64-bit keys, with these columns of its entries: what a task found, for the next exchange."""
+    order = np.argsort(keys, kind="stable")
+    edges = edges_of(keys[order], groups)
+    return sent([(g, packed([c[order[edges[g] : edges[g + 1]]] for c in columns])) for g in range(groups) if edges[g] < edges[g + 1]])

@@ -100,6 +100,7 @@ def lone(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             yield flush()
 
     def count(batches):
+        sigs, counts = [], []
         for values in hashes.received(batches).values():
             parts = [hashes.unpacked(v) for v in values]
             t = np.concatenate([p[0] for p in parts])
@@ -111,10 +112,25 @@ def lone(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             starts = hashes.first_of_runs(t)
             single = np.diff(np.append(starts, len(t))) == 1
             sig, found = np.unique(s[starts[single]], return_counts=True)
+            sigs.append(sig)
+            counts.append(found)
+        if sigs:
+            sig, found = summed(np.concatenate(sigs), np.concatenate(counts))
+            yield hashes.grouped(sig.view(np.uint64), [sig, found], buckets)
+
+    def add(batches):
+        for values in hashes.received(batches).values():
+            sig, found = summed(*(np.concatenate(c) for c in zip(*map(hashes.unpacked, values), strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(found, pa.int64())], names=["lo", "lone"])
 
-    got = docs.mapInArrow(send, hashes.SENT).repartition(buckets, "bucket").mapInArrow(count, "lo long, lone long")
-    return got.groupBy("lo").agg(F.sum("lone").alias("lone"))
+    got = docs.mapInArrow(send, hashes.SENT).repartition(buckets, "bucket").mapInArrow(count, hashes.SENT)
+    return got.repartition(buckets, "bucket").mapInArrow(add, "lo long, lone long")
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    one, inverse = np.unique(keys, return_inverse=True)
+    return one, np.bincount(inverse, weights=counts, minlength=len(one)).astype(np.int64)
 
 
 def blocks(nodes: DataFrame, percent: int) -> DataFrame:

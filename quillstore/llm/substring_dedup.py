@@ -50,15 +50,9 @@ def runs(positions: np.ndarray, reach: int, last: int) -> np.ndarray:
     return np.stack([low[new], np.append(high[new[1:] - 1], high[-1])], axis=1).reshape(-1)
 
 
-PIECES = "doc_id long, key long, positions array<int>"
-
-
-def pieces(ids: np.ndarray, keys: np.ndarray, positions: np.ndarray) -> pa.RecordBatch:
-    """One row for each text with its positions."""
-    order = np.lexsort((positions, keys, ids))
-    ids, keys, positions = ids[order], keys[order], positions[order].astype(np.int32)
-    one = hashes.first_of_runs(ids, keys)
-    return pa.RecordBatch.from_arrays([pa.array(ids[one], pa.int64()), pa.array(keys[one], pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(one, len(ids)), pa.int32()), pa.array(positions, pa.int32()))], names=["doc_id", "key", "positions"])
+def pieces(ids: np.ndarray, keys: np.ndarray, positions: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Positions on their way to the task that gets the text's others."""
+    return hashes.grouped(hashes.mixed(ids.view(np.uint64) ^ keys.view(np.uint64)), [ids, keys, positions.astype(np.uint32)], groups)
 
 
 def indexed(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +76,7 @@ def small(a: np.ndarray) -> np.ndarray:
 
 
 def hits(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """doc_id, key, positions: where a rolling window of half the length equals a block of another document, in pieces.
+    """pieces() of where a rolling window of half the length equals a block of another document.
 
     A probe that meets a block of another document of its task is a hit at once; only others are sent, and of equal blocks of a task only
     the smallest and largest document. So what is common comes few times to the task that compares it. 48 bits are compared here: a
@@ -129,23 +123,26 @@ def hits(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             yield flush()
 
     def compare(batches):
+        met = []
         for bucket, values in hashes.received(batches).items():
             parts = [hashes.unpacked(v) for v in values]
             if bucket < 0:
-                yield from (pieces(*p) for p in parts)
+                met += parts
                 continue
             index, low, high = indexed(*(np.concatenate([p[c] for p in parts]) for c in (5, 6, 7)))
             for h, inverse, positions, ids, keys, *_ in parts:
                 if len(h):
                     hit = meets(h, ids[inverse], index, low, high)
                     if hit.any():
-                        yield pieces(ids[inverse[hit]], keys[inverse[hit]], positions[hit])
+                        met.append([ids[inverse[hit]], keys[inverse[hit]], positions[hit]])
+        if met:
+            yield pieces(*(np.concatenate(c) for c in zip(*met, strict=True)), buckets)
 
-    return docs.mapInArrow(send, hashes.SENT).repartition(buckets, "bucket").mapInArrow(compare, PIECES)
+    return docs.mapInArrow(send, hashes.SENT).repartition(buckets, "bucket").mapInArrow(compare, hashes.SENT)
 
 
 def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """doc_id, key, positions: the starts of windows, among those of the column ranges, that also start in a smaller document; in pieces."""
+    """pieces() of the starts of windows, among those of the column ranges, that also start in a smaller document."""
 
     def send(batches):
         held, size = [], 0
@@ -179,6 +176,7 @@ def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             yield flush()
 
     def compare(batches):
+        met = []
         for values in hashes.received(batches).values():
             parts = [hashes.unpacked(v) for v in values]
             a, b, p, ids, keys = (np.concatenate(c) for c in zip(*((x[0], x[1], x[3], x[4][x[2]], x[5][x[2]]) for x in parts), strict=True))
@@ -187,20 +185,26 @@ def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             first = hashes.first_of_runs(a, b)
             later = ids > np.repeat(ids[first], np.diff(np.append(first, len(a))))
             if later.any():
-                yield pieces(ids[later], keys[later], p[later])
+                met.append([ids[later], keys[later], p[later]])
+        if met:
+            yield pieces(*(np.concatenate(c) for c in zip(*met, strict=True)), buckets)
 
-    return docs.mapInArrow(send, hashes.SENT).repartition(buckets, "bucket").mapInArrow(compare, PIECES)
+    return docs.mapInArrow(send, hashes.SENT).repartition(buckets, "bucket").mapInArrow(compare, hashes.SENT)
 
 
-def ranges(found: DataFrame, reach: int) -> DataFrame:
-    """doc_id, key, ranges: the runs of window starts that positions give, `reach` words back from each. A text's pieces are bounded by its length."""
+def ranges(found: DataFrame, reach: int, buckets: int) -> DataFrame:
+    """doc_id, key, ranges: the runs of window starts that a text's positions give, `reach` words back from each."""
 
     def run(batches):
-        for batch in batches:
-            got = [runs(np.unique(np.array(p, np.int64)), reach, 1 << 40).tolist() for p in batch.column("positions").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "key", "ranges"])
+        for values in hashes.received(batches).values():
+            ids, keys, positions = (np.concatenate(c) for c in zip(*map(hashes.unpacked, values), strict=True))
+            order = np.lexsort((positions, keys, ids))
+            ids, keys, positions = ids[order], keys[order], positions[order].astype(np.int64)
+            one = hashes.first_of_runs(ids, keys)
+            got = [runs(p, reach, 1 << 40) for p in np.split(positions, one[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[one], pa.int64()), pa.array(keys[one], pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "key", "ranges"])
 
-    return found.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("positions")).alias("positions")).mapInArrow(run, "doc_id long, key long, ranges array<long>")
+    return found.repartition(buckets, "bucket").mapInArrow(run, "doc_id long, key long, ranges array<long>")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -212,8 +216,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     total = firsts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     buckets = spread(docs.sparkSession, total, hashes.PER_TASK)
     # step 1 reads copies too, as leaving them out would need the texts joined; their hits end here
-    starts = kept(ranges(hits(own, window, buckets).join(copies, ["doc_id", "key"], "left_anti"), window - window // 2))
-    smaller = ranges(repeated(attached(own, starts, ["doc_id", "key"], "inner"), window, buckets), 0)
+    starts = kept(ranges(hits(own, window, buckets), window - window // 2, buckets).join(copies, ["doc_id", "key"], "left_anti"))
+    smaller = ranges(repeated(attached(own, starts, ["doc_id", "key"], "inner"), window, buckets), 0, buckets)
     whole = copies.select("doc_id", "key", F.lit(None).cast("array<long>").alias("ranges"), F.lit(True).alias("copy"))
     return kept(smaller.select("doc_id", "key", "ranges", F.lit(False).alias("copy")).unionByName(whole))
 
