@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .text import per_text, texts
 
 WORD = re.compile(r"\w+")
+#: Counts that a task sums before it sends them.
+HELD = 200_000
 
 
 @dataclass(frozen=True)
@@ -83,18 +85,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, options: Options) -> DataF
 def counts(rows: DataFrame, options: Options) -> DataFrame:
     """level, a, b, ordinary, toxic: how many of the documents of each class have a pair, word or stem. Summed by task first."""
 
+    def sent(found: Counter) -> pa.RecordBatch:
+        level, a, b, toxic = zip(*found, strict=True)
+        n = list(found.values())
+        by_class = [pa.array([x if bool(t) == c else 0 for t, x in zip(toxic, n, strict=True)], pa.int64()) for c in (False, True)]
+        return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(a), pa.array(b), *by_class], names=["level", "a", "b", "ordinary", "toxic"])
+
     def run(batches):
+        found = Counter()
         for batch in batches:
-            found = Counter()
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 w = WORD.findall((text or "").lower())
                 found.update((2, a, b, toxic) for a, b in set(zip(w, w[1:])))
                 found.update((1, x, "", toxic) for x in set(w))
                 found.update((0, x, "", toxic) for x in {x[: options.stem] for x in w})
-            if found:
-                level, a, b, toxic = zip(*found, strict=True)
-                n = list(found.values())
-                yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(a), pa.array(b), pa.array([0 if t else x for t, x in zip(toxic, n, strict=True)], pa.int64()), pa.array([x if t else 0 for t, x in zip(toxic, n, strict=True)], pa.int64())], names=["level", "a", "b", "ordinary", "toxic"])
+                if len(found) > HELD:
+                    yield sent(found)
+                    found = Counter()
+        if found:
+            yield sent(found)
 
     each = rows.mapInArrow(run, "level int, a string, b string, ordinary long, toxic long")
     return each.groupBy("level", "a", "b").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
