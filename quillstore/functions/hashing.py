@@ -26,29 +26,29 @@ def bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def add64(a: Column, b: Column) -> Column:
-    low = a.bitwiseAND(F.lit(LOW)) + b.bitwiseAND(F.lit(LOW))
-    high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
-    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(LOW)))
-
-
 def mul64(a: Column, n: int) -> Column:
-    """a * n modulo 2 ** 64, by 16-bit limbs of n against 32-bit halves of a."""
-
-    def with_(x: Column) -> Column:
-        total = None
-        for k in range(4):
-            limb = n >> 16 * k & 0xFFFF
-            if not limb:
-                continue
-            low = x.bitwiseAND(F.lit(LOW)) * F.lit(limb)
-            high = F.shiftrightunsigned(x, 32) * F.lit(limb)
-            part = add64(low, F.shiftleft(high, 32))
-            part = F.shiftleft(part, 16 * k) if k else part
-            total = part if total is None else add64(total, part)
-        return total
-
-    return bind(a, with_)
+    """a * n modulo 2 ** 64: halves of a against 16-bit limbs of n, so that no product or sum passes 2 ** 52."""
+    limbs = [n >> 16 * k & 0xFFFF for k in range(4)]
+
+    def total(parts: list[Column]) -> Column:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out + p
+        return out
+
+    def times(v: Column) -> Column:
+        low, high = v.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(v, 32)
+        products = {(h, k): x * F.lit(limbs[k]) for h, x, most in ((0, low, 4), (1, high, 2)) for k in range(most) if limbs[k]}
+        zero = F.lit(0).cast("long")
+        below = total([products.get((0, 0), zero), *([F.shiftleft(products[0, 1].bitwiseAND(F.lit(0xFFFF)), 16)] if (0, 1) in products else [])])
+        above = [F.shiftrightunsigned(below, 32)]
+        above += [F.shiftrightunsigned(products[0, 1], 16)] if (0, 1) in products else []
+        for whole, shifted in (((0, 2), (0, 3)), ((1, 0), (1, 1))):  # of these only the lowest 32 bits count
+            above += [products[whole]] if whole in products else []
+            above += [F.shiftleft(products[shifted].bitwiseAND(F.lit(0xFFFF)), 16)] if shifted in products else []
+        return F.shiftleft(total(above).bitwiseAND(F.lit(LOW)), 32).bitwiseOR(below.bitwiseAND(F.lit(LOW)))
+
+    return bind(a, times)
 
 
 def fnv1a64(data: Column) -> Column:
@@ -56,6 +56,14 @@ def fnv1a64(data: Column) -> Column:
     return F.aggregate(byte_values(data), F.lit(signed(FNV_BASIS)), lambda h, v: mul64(h.bitwiseXOR(v.cast("long")), FNV_PRIME))
 
 
+def fnv1a64_of(data: bytes) -> Column:
+    """The same of known bytes, as a literal."""
+    h = FNV_BASIS
+    for x in data:
+        h = (h ^ x) * FNV_PRIME % (1 << 64)
+    return F.lit(signed(h))
+
+
 def mix_hashes(a: Column, b: Column) -> Column:
     """One hash of two, as signed bits: the second is rotated, both are joined and finalized."""
     x = a.bitwiseXOR(F.shiftleft(b, ROTATE).bitwiseOR(F.shiftrightunsigned(b, 64 - ROTATE)))

@@ -284,14 +284,14 @@ COLUMN_HASH = FNV.format("'lineitem'")
 
 @query(f"with h as (select distinct l_orderkey, cast({COLUMN_HASH} as uhugeint) as c from lineitem) select l_orderkey, cast({mixed_sql('c', 'cast(l_orderkey as uhugeint)')} as decimal(20,0)) as mixed from h")
 def mix_hashes(spark, sf):
-    mixed = hashing.mix_hashes(hashing.fnv1a64(F.lit(b"lineitem")), F.col("l_orderkey"))
+    mixed = hashing.mix_hashes(hashing.fnv1a64_of(b"lineitem"), F.col("l_orderkey"))
     return table(spark, sf, "lineitem").select("l_orderkey").distinct().select("l_orderkey", unsigned(mixed).alias("mixed"))
 
 
 @query(f"with h as (select distinct l_orderkey, cast({COLUMN_HASH} as uhugeint) as c from lineitem) select cast({mixed_sql('c', 'cast(l_orderkey as uhugeint)')} % 8 as integer) as shard, count(*) as n from h group by 1")
 def shard_distribution(spark, sf):
     own = table(spark, sf, "lineitem").select("l_orderkey").distinct()
-    return own.select(hashing.shard_for_row(hashing.fnv1a64(F.lit(b"lineitem")), F.col("l_orderkey"), 8).alias("shard")).groupBy("shard").agg(F.count("*").alias("n"))
+    return own.select(hashing.shard_for_row(hashing.fnv1a64_of(b"lineitem"), F.col("l_orderkey"), 8).alias("shard")).groupBy("shard").agg(F.count("*").alias("n"))
 
 
 @query("""with s as (select event_id, strlen(event_type) + strlen(cast(user_id as varchar)) as names, 24 + strlen(event_type) + strlen(cast(user_id as varchar)) + strlen(props) as record_size from events),
