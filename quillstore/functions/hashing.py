@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import unsigned
 from .text import byte_values
 
 LOW = 0xFFFFFFFF
@@ -81,4 +80,5 @@ def object_index_hash(a: Column, b: Column) -> Column:
 
 
 def shard_for_row(column_hash: Column, row_bits: Column, shards: int) -> Column:
-    return (unsigned(mix_hashes(column_hash, row_bits)) % F.lit(shards).cast("decimal(20,0)")).cast("int")
+    """The mixed hash modulo shards, unsigned: its upper 63 bits and the lowest one by themselves."""
+    return bind(mix_hashes(column_hash, row_bits), lambda x: ((F.shiftrightunsigned(x, 1) % shards * 2 + x.bitwiseAND(F.lit(1).cast("long"))) % shards).cast("int"))

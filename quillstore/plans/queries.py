@@ -25,11 +25,10 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str, name: str | None = None):
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        QUERIES[name or f.__name__] = f
+        ORACLE_SQL[name or f.__name__] = sql
         return f
 
     return add
@@ -249,12 +248,12 @@ def dump_column_deserialized(spark, sf):
     return dump.object_lines(objects.latest_objects(events(spark, sf).where(F.col("column") == F.lit(b"click"))), json_number).select("line")
 
 
-@query("select event_id, " + ESCAPED.format("props") + " as escaped from events")
+@query("select event_id, " + ESCAPED.format("props") + " as escaped from events", "escape_text")
 def escape_text_of_events(spark, sf):
     return events(spark, sf).select(F.col("seq").alias("event_id"), escape_text(F.col("value")).alias("escaped"))
 
 
-@query("select doc_id, '0x' || lower(hex(encode(text))) as hexed from documents")
+@query("select doc_id, '0x' || lower(hex(encode(text))) as hexed from documents", "hex_bytes")
 def hex_bytes_of_documents(spark, sf):
     return documents(spark, sf).select(F.col("seq").alias("doc_id"), hex_bytes(F.col("value")).alias("hexed"))
 
@@ -346,9 +345,11 @@ def migrate_legacy_log(spark, sf):
     return migrated(legacy).select(shown("column").alias("column_name"), shown("key").alias("key_text"), F.lower(F.hex("value")).alias("value_hex"), F.col("seq").alias("new_seq"))
 
 
-@query("with p as (select event_type, user_id, props, event_id from events where event_id <= 500 qualify row_number() over (partition by event_type, user_id order by event_id desc) = 1) select event_type as column_name, cast(user_id as varchar) as key_text, lower(hex(encode(props))) as value_hex from p")
+@query("with p as (select event_type, user_id, props, event_id from events where event_id <= (select max(event_id) // 2 from events) qualify row_number() over (partition by event_type, user_id order by event_id desc) = 1) select event_type as column_name, cast(user_id as varchar) as key_text, lower(hex(encode(props))) as value_hex from p")
 def read_only_snapshot(spark, sf):
-    return plain(objects.latest_objects(events(spark, sf).where(F.col("seq") <= 500)))
+    log = events(spark, sf)
+    pin = log.agg(F.max("seq")).first()[0] // 2
+    return plain(objects.latest_objects(log.where(F.col("seq") <= pin)))
 
 
 @query("with o as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events) select event_type, max(case when i = least(n - 1, cast(floor(n * 0.5) as bigint)) then value end) as p50, max(case when i = least(n - 1, cast(floor(n * 0.95) as bigint)) then value end) as p95, max(case when i = least(n - 1, cast(floor(n * 0.99) as bigint)) then value end) as p99 from o group by 1")
