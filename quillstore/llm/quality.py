@@ -30,7 +30,7 @@ class Rules:
     reach: int = 3
     min_rows: int = 50
     #: Thousandths that a clean text may exceed the third quartile of its group, by ratio; word length counts in hundredths of a letter.
-    margins: tuple[tuple[str, int], ...] = (("symbol", 100), ("dup_line", 300), ("repeat", 150), ("length", 400))
+    margins: tuple[tuple[str, int], ...] = (("symbol", 60), ("dup_line", 500), ("repeat", 200), ("length", 400))
 
 
 def bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -180,9 +180,9 @@ f as (select w.doc_id, lang, source, cast(len(words) as bigint) as n_words,
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from f),
 r as (select *, 1000 * n_symbols // greatest(word_chars, 1) as symbol, 1000 * n_dup_lines // greatest(n_lines, 1) as dup_line,
   1000 * n_repeat_words // greatest(n_words, 1) as repeat, least(100 * word_chars // greatest(n_words, 1), 10000) as length from b),
-x as (select lang, source, 'symbol' as ratio, 100 as margin, symbol as bucket from r where not base_failed union all
-  select lang, source, 'dup_line', 300, dup_line from r where not base_failed union all
-  select lang, source, 'repeat', 150, repeat from r where not base_failed union all
+x as (select lang, source, 'symbol' as ratio, 60 as margin, symbol as bucket from r where not base_failed union all
+  select lang, source, 'dup_line', 500, dup_line from r where not base_failed union all
+  select lang, source, 'repeat', 200, repeat from r where not base_failed union all
   select lang, source, 'length', 400, length from r where not base_failed),
 l as (select 2 as level, lang, source, * exclude (lang, source) from x union all select 1, lang, null, * exclude (lang, source) from x union all select 0, null, null, * exclude (lang, source) from x),
 q as (select level, lang, source, ratio, margin, count(*) as n, quantile_disc(bucket, 0.25) as q1, quantile_disc(bucket, 0.75) as q3 from l group by all),
