@@ -4,7 +4,8 @@ Two models, of toxic and of ordinary texts, give each word a probability. Counts
 taken off goes to the next level: from a pair of words to the word, from the word to its stem (the first letters), from the stem to a
 level that both classes share. There, as in Kneser-Ney, not frequency counts but the number of continuations: how many words have the
 stem, how many stems there are. A word that either class has rarely thus leans on its stem, and unknown stems make no difference. A text's
-score compares both log-likelihoods, normalised by length, in its most toxic stretch; a logistic curve, fitted on the training rows, maps it to 0..1.
+evidence is the difference of both log-likelihoods over its words that tell the classes apart; a logistic curve over evidence and length,
+fitted on the training rows, makes it a score from 0 to 1.
 """
 
 from __future__ import annotations
@@ -36,42 +37,40 @@ class Options:
     entries: int = 200_000
     discount: float = 0.75
     stem: int = 5
-    #: Lengths of the stretches, in words.
-    stretches: tuple[int, ...] = (1, 4, 20, 100)
+    #: Words of a smaller log-likelihood ratio are no evidence.
+    least_ratio: float = 3.0
     threshold: float = 0.7
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios, toxic over ordinary, by pair, word and stem, and the curve's slope and shift."""
+    """Log-likelihood ratios, toxic over ordinary, by pair, word and stem, and the curve over (excess, log length)."""
 
     pairs: dict[tuple[str, str], float] = field(default_factory=dict)
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     options: Options = Options()
-    slope: float = 0.0
-    shift: float = -20.0
+    curve: tuple[float, float, float] = (0.0, 0.0, -20.0)
 
-    def ratio(self, text: str | None) -> float:
-        """The difference of the two models' log-likelihoods in the stretch where it is largest, over the root of its length; 0 without words.
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        """How far the toxic log-likelihood exceeds the ordinary one over the distinct words where they differ by more than options.least_ratio; the log of the length.
 
-        By the root, as chance differences grow: a long ordinary text then scores no higher than a short one.
+        The models count documents, so a word counts once however often a text repeats it.
         """
         found = WORD.findall((text or "").lower())
-        if not found:
-            return 0.0
-        words, stems, n = self.words, self.stems, self.options.stem
-        each = [words.get(w) for w in found]
-        each = [stems.get(w[:n], 0.0) if x is None else x for x, w in zip(each, found, strict=True)]
+        words, stems, n, least = self.words, self.stems, self.options.stem, self.options.least_ratio
+        best = {w: words.get(w) for w in set(found)}
+        best = {w: x for w, y in best.items() if (x := stems.get(w[:n], 0.0) if y is None else y) > least}
         if self.pairs:
-            for i, x in enumerate(map(self.pairs.get, zip(found, found[1:])), 1):
-                if x is not None:
-                    each[i] = x
-        total = np.concatenate(([0.0], np.cumsum(each)))
-        return max(float((total[min(k, len(each)) :] - total[: max(1, len(total) - k)]).max()) / k**0.5 for k in self.options.stretches)
+            for pair, x in zip(zip(found, found[1:]), map(self.pairs.get, zip(found, found[1:]))):
+                if x is not None and x > best.get(pair[1], least):
+                    best[pair[1]] = x
+        return sum(best.values()) - least * len(best), math.log1p(len(found))
 
     def score(self, text: str | None) -> float:
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * self.ratio(text) + self.shift))))
+        a, b, c = self.curve
+        x, n = self.evidence(text)
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, a * x + b * n + c))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, options: Options) -> DataFrame:
@@ -155,25 +154,32 @@ def ratios(found: DataFrame, options: Options) -> Model:
     return model
 
 
-def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton's method with a small penalty on the slope."""
-    scale = x.std() or 1.0
-    a, b = 0.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x / scale + b, -500, 500)))
-        w = p * (1 - p) + 1e-9
-        ga, gb = ((p - y) * x / scale).sum() + 0.01 * a, (p - y).sum()
-        haa, hab, hbb = (w * (x / scale) ** 2).sum() + 0.01, (w * x / scale).sum(), w.sum()
-        det = haa * hbb - hab * hab
-        if det <= 0:
+def solved(m: list[list[float]], y: list[float]) -> list[float]:
+    """A small system of linear equations, by elimination."""
+    rows = [[*r, v] for r, v in zip(m, y, strict=True)]
+    for i in range(len(rows)):
+        k = max(range(i, len(rows)), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[k] = rows[k], rows[i]
+        rows[i] = [v / rows[i][i] for v in rows[i]]
+        rows = [r if j == i else [v - r[i] * w for v, w in zip(r, rows[i], strict=True)] for j, r in enumerate(rows)]
+    return [r[-1] for r in rows]
+
+
+def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of a logistic curve over the columns of x and a constant, by Newton's method with a small penalty. More evidence never lowers a score."""
+    scale = np.append(np.maximum(np.abs(x).max(axis=0), 1e-9), 1.0)
+    x = np.column_stack([x, np.ones(len(x))]) / scale
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -500, 500)))
+        gradient = ((p - y)[:, None] * x).sum(axis=0) + 0.01 * w
+        curvature = [[float((p * (1 - p) * x[:, i] * x[:, j]).sum()) + 0.01 * (i == j) for j in range(len(w))] for i in range(len(w))]
+        step = np.array(solved(curvature, gradient.tolist()))
+        w = w - step * min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-7:
             break
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        most = max(abs(da), abs(db), 1e-12)
-        step = min(1.0, 5.0 / most)
-        a, b = a - step * da, b - step * db
-        if most < 1e-7:
-            break
-    return max(a, 0.0) / scale, b
+    w = w / scale
+    return (max(float(w[0]), 0.0), *map(float, w[1:]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Model:
@@ -181,9 +187,13 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> M
     rows = training_rows(docs, labels, options).cache()
     model = ratios(counts(rows, options), options)
     if model.words:
-        pairs = rows.select("doc_id", "text", "toxic").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([model.ratio(t) for t in b.column("text").to_pylist()], pa.float64()), b.column("toxic")], names=["x", "y"]) for b in batches), "x double, y int").collect()
-        x, y = np.array([r["x"] for r in pairs]), np.array([r["y"] for r in pairs], float)
-        model.slope, model.shift = map(float, fitted(x, y))
+        def measured(batches):
+            for batch in batches:
+                x = [model.evidence(t) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), batch.column("toxic")], names=["x", "n", "y"])
+
+        known = rows.mapInArrow(measured, "x double, n double, y int").collect()  # at most options.sample rows
+        model.curve = fitted(np.array([[r["x"], r["n"]] for r in known]), np.array([r["y"] for r in known], float))
     rows.unpersist()
     return model
 
