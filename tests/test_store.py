@@ -48,13 +48,13 @@ def test_not_open(spark, path):
 
 def test_columns_batches_and_multi_get(spark, path):
     with Store.open(spark, path, SMALL) as s:
-        s.put_struct("StructA", "a-1", b"flatbuffer-a1")
-        s.put_struct("StructA", "a-2", b"flatbuffer-a2")
-        s.put_struct("StructB", "a-1", b"flatbuffer-b1")
-        s.put_structs("StructA", [("a-1", b"x"), ("a-1", b"flatbuffer-a1-new")])
+        s.put_struct("StructA", "a-1", b"bytes-a1")
+        s.put_struct("StructA", "a-2", b"bytes-a2")
+        s.put_struct("StructB", "a-1", b"bytes-b1")
+        s.put_structs("StructA", [("a-1", b"x"), ("a-1", b"bytes-a1-new")])
         s.put_structs("StructA", [])
-        assert s.get_struct("StructB", "a-1") == b"flatbuffer-b1"
-        assert s.get_many("StructA", ["a-2", "a-1", "a-2"]) == [b"flatbuffer-a2", b"flatbuffer-a1-new", b"flatbuffer-a2"]
+        assert s.get_struct("StructB", "a-1") == b"bytes-b1"
+        assert s.get_many("StructA", ["a-2", "a-1", "a-2"]) == [b"bytes-a2", b"bytes-a1-new", b"bytes-a2"]
         assert s.get_many("StructA", []) == [] and s.entry_count == 3 and s.bucket_count == 16
         with pytest.raises(NotFoundError):
             s.get_many("StructA", ["a-1", "nowhere"])
