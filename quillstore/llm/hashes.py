@@ -14,9 +14,9 @@ import xxhash
 import zstandard
 
 #: Entries that a task gathers before it sends them.
-FLUSH = 2_000_000
+FLUSH = 500_000
 #: Entries of all tasks for each task that receives.
-PER_TASK = 2_000_000
+PER_TASK = 1_000_000
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 SENT = "bucket int, payload binary"
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import hashes
 from .components import components
-from .text import attached, kept, spread, texts
+from .text import attached, kept, spread, texts, trimmed
 
 #: Larger blocks are dealt to cells of two parts of about this size each.
 BLOCK = 1000
@@ -55,7 +55,7 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
             both = [hashes.digest(x) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64())], names=["doc_id", "n_shingles", "hi", "lo"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, hi long, lo long")
 
 
 def lone(docs: DataFrame, n: int, buckets: int) -> DataFrame:
@@ -123,8 +123,8 @@ def lone(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             sig, found = summed(*(np.concatenate(c) for c in zip(*map(hashes.unpacked, values), strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(found, pa.int64())], names=["lo", "lone"])
 
-    got = docs.mapInArrow(send, hashes.SENT).repartition(buckets, "bucket").mapInArrow(count, hashes.SENT)
-    return got.repartition(buckets, "bucket").mapInArrow(add, "lo long, lone long")
+    got = docs.mapInArrow(trimmed(send), hashes.SENT).repartition(buckets, "bucket").mapInArrow(trimmed(count), hashes.SENT)
+    return got.repartition(buckets, "bucket").mapInArrow(trimmed(add), "lo long, lone long")
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +286,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
             rows = [(i, x) for i, t, hi, lo in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hi", "lo")), strict=True) if hashes.digest(x := ngrams(t, n)) == (hi, lo)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([r[1].view(np.int64) for r in rows], pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
-    nodes = kept(attached(own, left, "doc_id", "inner").mapInArrow(tokens, "node long, n long, tokens array<long>"))
+    nodes = kept(attached(own, left, "doc_id", "inner").mapInArrow(trimmed(tokens), "node long, n long, tokens array<long>"))
     block = kept(blocks(nodes, percent))
     joined = components(links(nodes, block, percent))
     named = groups.join(joined, "node", "left").select(F.col("hi").alias("g_hi"), F.col("lo").alias("g_lo"), F.coalesce("component", "node").alias("component"))

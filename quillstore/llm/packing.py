@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SEGMENT, kept, texts
+from .text import SEGMENT, kept, texts, trimmed
 
 SIZE = 1024
 #: Texts are tokenized in groups of about so many characters, to look up what is new of a group at once.
@@ -32,7 +32,7 @@ GROUP = 1 << 20
 class IdBytes:
     """Ids as little-endian 32-bit integers, by segments that no pre-token crosses; segments met before are looked up."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -111,7 +111,7 @@ def measure(docs: DataFrame, path: str, end_id: int, size: int, id_col: str, tex
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "doc_tokens", "crcs", "rest", "part", "full_before", "halves_before", "rank_in_part"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>, rest int, part int, full_before long, halves_before long, rank_in_part long")
+    return texts(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, doc_tokens long, crcs array<long>, rest int, part int, full_before long, halves_before long, rank_in_part long")
 
 
 @dataclass
@@ -289,4 +289,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE, rounds:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return placed.mapInArrow(pieces, schema)
+    return placed.mapInArrow(trimmed(pieces), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashes
-from .text import attached, kept, spread, texts, words
+from .text import attached, kept, spread, texts, trimmed, words
 
 WINDOW = 50
 
@@ -34,7 +34,7 @@ def digests(docs: DataFrame) -> DataFrame:
             both = [hashes.digest(np.frombuffer(b" ".join(w), np.uint8)) for w in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([len(w) for w in found], pa.int64()), pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64())], names=["doc_id", "key", "n_words", "hi", "lo"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_words long, hi long, lo long")
+    return docs.mapInArrow(trimmed(run), "doc_id long, key long, n_words long, hi long, lo long")
 
 
 def runs(positions: np.ndarray, reach: int, last: int) -> np.ndarray:
@@ -138,7 +138,7 @@ def hits(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         if met:
             yield pieces(*(np.concatenate(c) for c in zip(*met, strict=True)), buckets)
 
-    return docs.mapInArrow(send, hashes.SENT).repartition(buckets, "bucket").mapInArrow(compare, hashes.SENT)
+    return docs.mapInArrow(trimmed(send), hashes.SENT).repartition(buckets, "bucket").mapInArrow(trimmed(compare), hashes.SENT)
 
 
 def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -189,7 +189,7 @@ def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         if met:
             yield pieces(*(np.concatenate(c) for c in zip(*met, strict=True)), buckets)
 
-    return docs.mapInArrow(send, hashes.SENT).repartition(buckets, "bucket").mapInArrow(compare, hashes.SENT)
+    return docs.mapInArrow(trimmed(send), hashes.SENT).repartition(buckets, "bucket").mapInArrow(trimmed(compare), hashes.SENT)
 
 
 def ranges(found: DataFrame, reach: int, buckets: int) -> DataFrame:
@@ -204,7 +204,7 @@ def ranges(found: DataFrame, reach: int, buckets: int) -> DataFrame:
             got = [runs(p, reach, 1 << 40) for p in np.split(positions, one[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[one], pa.int64()), pa.array(keys[one], pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "key", "ranges"])
 
-    return found.repartition(buckets, "bucket").mapInArrow(run, "doc_id long, key long, ranges array<long>")
+    return found.repartition(buckets, "bucket").mapInArrow(trimmed(run), "doc_id long, key long, ranges array<long>")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -256,7 +256,7 @@ def kept_texts(docs: DataFrame, window: int = WINDOW, digest: bool = False, id_c
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["doc_id", "n_words", "n_removed", last])
 
-    return attached(own, repeats(own, window), ["doc_id", "key"], "left").mapInArrow(run, f"doc_id long, n_words long, n_removed long, {last} string")
+    return attached(own, repeats(own, window), ["doc_id", "key"], "left").mapInArrow(trimmed(run), f"doc_id long, n_words long, n_removed long, {last} string")
 
 
 def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -276,4 +276,4 @@ def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 made["n_chars"] = pa.array([len(t) if x else n for t, x, n in zip(new, changed, batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in names], names=names)
 
-    return attached(keyed, repeats(own, window), ["doc_id", "key"], "left").mapInArrow(run, docs.schema)
+    return attached(keyed, repeats(own, window), ["doc_id", "key"], "left").mapInArrow(trimmed(run), docs.schema)

@@ -53,6 +53,24 @@ class Memo(dict):
         return value
 
 
+def trimmed(run: Callable) -> Callable:
+    """A mapInArrow function that hands freed memory back to the system when its task ends: workers live on and would keep it."""
+
+    def whole(batches):
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return whole
+
+
 def per_text(schema: str, rows: Callable[[str | None], tuple], names: list[str]) -> Callable:
     """A mapInArrow function that keeps doc_id and adds what `rows` makes of each text."""
     import pyspark.sql.types as T
@@ -66,7 +84,7 @@ def per_text(schema: str, rows: Callable[[str | None], tuple], names: list[str])
             columns = list(zip(*made, strict=True)) if made else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, arrow.field(n).type) for c, n in zip(columns, names, strict=True))], schema=arrow)
 
-    return run
+    return trimmed(run)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -126,4 +144,4 @@ def spread(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
-__all__ = ["DOCUMENT_COLUMNS", "F", "Memo", "RUN", "SEGMENT", "attached", "drop_scratch", "kept", "per_text", "scratch", "spread", "texts", "words"]
+__all__ = ["DOCUMENT_COLUMNS", "F", "Memo", "RUN", "SEGMENT", "attached", "drop_scratch", "kept", "per_text", "scratch", "spread", "texts", "trimmed", "words"]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import per_text, texts
+from .text import per_text, texts, trimmed
 
 WORD = re.compile(r"\w+")
 #: Counts that a task sums before it sends them.
@@ -104,7 +104,7 @@ def counts(rows: DataFrame, options: Options) -> DataFrame:
         if found:
             yield sent(found)
 
-    each = rows.mapInArrow(run, "level int, a string, b string, ordinary long, toxic long")
+    each = rows.mapInArrow(trimmed(run), "level int, a string, b string, ordinary long, toxic long")
     return each.groupBy("level", "a", "b").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
@@ -192,7 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> M
                 x = [model.evidence(t) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), batch.column("toxic")], names=["x", "n", "y"])
 
-        known = rows.mapInArrow(measured, "x double, n double, y int").collect()  # at most options.sample rows
+        known = rows.mapInArrow(trimmed(measured), "x double, n double, y int").collect()  # at most options.sample rows
         model.curve = fitted(np.array([[r["x"], r["n"]] for r in known]), np.array([r["y"] for r in known], float))
     rows.unpersist()
     return model
@@ -222,4 +222,4 @@ def harmless(docs: DataFrame, labels: DataFrame, options: Options = Options()) -
         for batch in batches:
             yield batch.filter(pa.array([model.value.score(t) < options.threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
