@@ -1,14 +1,17 @@
 """License scans by conditional compression.
 
-Lines that mention licensing are candidates. The block that a candidate starts is compressed alone and with each template as a raw
-zstandard dictionary; the template that saves the largest share of bytes wins. The winner is confirmed by comparing words: how much of the
-template stands in the block, and which words differ.
+Every mention of licensing in a text is a candidate. For each template, the block of words around it is placed by the places where the
+template itself mentions licensing, and by the starts of the line and the sentence. Where enough of the template's words stand in the
+block in order, the block is compressed alone and with the template as a raw zstandard dictionary; the template that saves the largest
+share of bytes wins. The scan goes on after the winner's last word, in the same line too.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .text import texts
 
-#: Words that a candidate line has one of.
-MENTION = re.compile(r"licen[cs]e|copyright|warrant|public domain|redistribut|permission is hereby|spdx|all rights reserved", re.IGNORECASE)
+#: Words that make a place a candidate.
+MENTION = re.compile(r"licen[cs]e|copyright|warrant|public\s+domain|redistribut|permission\s+is\s+hereby|spdx|all\s+rights\s+reserved", re.IGNORECASE)
 #: Wordings of notices by license; a license may have several.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -47,9 +50,30 @@ class Options:
     least_words: int = 85
 
 
+@dataclass(frozen=True)
+class Template:
+    name: str
+    words: list[str]
+    counts: Counter
+    #: Which of the words mention licensing.
+    mentions: list[int]
+    compressor: zstandard.ZstdCompressor
+
+    @property
+    def room(self) -> int:
+        """How many words a notice may have more than the template."""
+        return max(2, len(self.words) // 8)
+
+
 @cache
-def compressors() -> tuple[tuple[str, list[str], zstandard.ZstdCompressor], ...]:
-    return tuple((name, plain(text), zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text in TEMPLATES)
+def templates() -> tuple[Template, ...]:
+    def made(name: str, text: str) -> Template:
+        starts = [m.start() for m in WORD.finditer(text) if clean(m[0])]
+        mentions = sorted({bisect_right(starts, m.start()) - 1 for m in MENTION.finditer(text)})
+        data = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return Template(name, plain(text), Counter(plain(text)), mentions, zstandard.ZstdCompressor(level=19, dict_data=data))
+
+    return tuple(made(*t) for t in TEMPLATES)
 
 
 @cache
@@ -82,32 +106,47 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, list[s
 def scan(text: str | None, options: Options = Options()) -> list[tuple[int, str, int, list[str]]]:
     """Start, license, saving in thousandths and differing words of each confirmed notice in a text.
 
-    Templates are tried in the order of their savings until one is confirmed. What lies in an earlier notice is left out.
+    Each mention is tried, but those inside an earlier notice. Of the templates that the words confirm the one of the largest saving counts.
     """
     if not text or not MENTION.search(text):
         return []
-    out, done, at = [], 0, 0
-    for line in text.split("\n"):
-        start, at = at, at + len(line) + 1
-        if at <= done or not (mention := MENTION.search(line)):
+    found = [(w, m.start(), m.end()) for m in WORD.finditer(text) if (w := clean(m[0]))]
+    words, starts, ends = zip(*found, strict=True)
+    out, low, done, seen = [], 0, 0, 0
+    edges = {0}  # words that start the line or the sentence, if no mention before has tried them
+    mentions = list(MENTION.finditer(text))
+    for mention, after in zip(mentions, [*mentions[1:], None], strict=True):
+        for cut in ("\n", ". "):
+            if (k := text.rfind(cut, seen, mention.start())) >= 0:
+                edges.add(bisect_left(starts, k + 1))
+        seen = mention.start()
+        if mention.start() < done:
             continue
-        if len(line) > 600 and ". " in line[: mention.start()]:  # a long line: from the sentence that mentions it
-            start += line.rfind(". ", 0, mention.start()) + 2
-        ranked = []
-        for i, (_, words, compressor) in enumerate(compressors()):
-            found = [m for m, _ in zip(WORD.finditer(text, start), range(len(words) + max(2, len(words) // 8))) if clean(m[0])]
-            data = text[start : found[-1].end()].lower().encode("utf-8", "surrogatepass") if found else b""
-            before = len(alone().compress(data))
-            saving = 1000 * (before - len(compressor.compress(data))) // before
-            if saving >= options.least_saving:
-                ranked.append((saving, len(words), -i, found))
-        for saving, size, i, found in sorted(ranked, key=lambda x: x[:3], reverse=True):
-            name, words, _ = compressors()[-i]
-            same, used, differing = differences(words, [clean(m[0]) for m in found])
-            if 100 * same >= options.least_words * size:
-                out.append((start, name, saving, differing))
-                done = found[used - 1].end()
-                break
+        at, best = bisect_right(starts, mention.start()) - 1, None
+        for i, t in enumerate(templates()):
+            least, tried = options.least_words * len(t.words), set()
+            for first in {at - k for k in t.mentions} | edges:
+                a, b = max(low, first - t.room), max(low, first + len(t.words) + t.room)
+                if 100 * (t.counts & Counter(words[a:b])).total() < least:  # no order of the words could do
+                    continue
+                a += next(j for _, j, n in difflib.SequenceMatcher(None, t.words, words[a:b], autojunk=False).get_matching_blocks() if n)
+                b = min(len(words), a + len(t.words) + t.room)
+                if a in tried:
+                    continue
+                tried.add(a)
+                same, used, differing = differences(t.words, list(words[a:b]))
+                if 100 * same < least or (a > at and after and after.start() < ends[a + used - 1]):  # the next mention finds what starts later
+                    continue
+                data = " ".join(text[starts[a] : ends[b - 1]].lower().split()).encode("utf-8", "surrogatepass")  # wherever lines are broken
+                before = len(alone().compress(data))
+                saving = 1000 * (before - len(t.compressor.compress(data))) // before
+                if saving >= options.least_saving and (best is None or (saving, len(t.words), -i, -a) > best[0]):
+                    best = (saving, len(t.words), -i, -a), a, used, differing
+        edges = set()
+        if best:
+            (saving, _, i, _), a, used, differing = best
+            out.append((starts[a], templates()[-i].name, saving, differing))
+            low, done = a + used, ends[a + used - 1]
     return out
 
 

@@ -64,6 +64,24 @@ def test_differences_and_clean_texts():
         assert license_scan.scan(text) == []
 
 
+def test_every_mention_is_a_candidate():
+    """Words before a notice, several notices in a line, texts without line breaks, notices over line breaks."""
+    names = lambda text: [x[1] for x in license_scan.scan(text)]
+    assert names("This project is released under the MIT License.") == ["MIT"]
+    assert names("Copyright (c) 2020 Foo. Licensed under the Apache License, Version 2.0.") == ["Apache-2.0"]
+    assert names("Released under the MIT License. Licensed under CC BY-NC 4.0.") == ["MIT", "CC-BY-NC-4.0"]
+    filler = "some words that go on and on with a license or a copyright in between, "
+    long = filler * 40
+    for name, text in license_scan.TEMPLATES:
+        (start, got, _, differing), = license_scan.scan(long + text + " " + long)
+        assert (start, got, differing) == (len(long), name, [])
+        assert names(text.replace(" ", "\n")) == [name]
+    every = [name for name, _ in license_scan.TEMPLATES]
+    assert names(long.join(text + " " for _, text in license_scan.TEMPLATES)) == every
+    assert names(" ".join(text for _, text in license_scan.TEMPLATES)) == every
+    assert names("copyright " * 20000) == []
+
+
 def test_scan_rows(spark):
     rows = [(1, "x\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", 0), (2, None, 0), (None, "", 0), (1, "y " * 50000 + "\nLicensed under the Apache License, Version 2.0.", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, notices int")
