@@ -4,8 +4,9 @@ Two models, of toxic and of ordinary texts, give each word a probability. Counts
 taken off goes to the next level: from a pair of words to the word, from the word to its stem (the first letters), from the stem to a
 level that both classes share. There, as in Kneser-Ney, not frequency counts but the number of continuations: how many words have the
 stem, how many stems there are. A word that either class has rarely thus leans on its stem, and unknown stems make no difference. A text's
-evidence is the difference of both log-likelihoods over its words that tell the classes apart; a logistic curve over evidence and length,
-fitted on the training rows, makes it a score from 0 to 1.
+differences of both log-likelihoods, over all its words, are divided by its length, for the whole text and for its most toxic window; its
+evidence is the sum over the distinct words that tell the classes apart most. A logistic curve over these and the length makes a score from 0
+to 1. It is fitted on training rows, each measured by a model that hasn't seen it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +41,22 @@ class Options:
     stem: int = 5
     #: Words of a smaller log-likelihood ratio are no evidence.
     least_ratio: float = 3.0
+    #: Words of the windows whose mean is taken besides the whole text's.
+    window: int = 25
+    #: Parts of the training rows; each is measured by the model of the others.
+    folds: int = 2
     threshold: float = 0.7
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios, toxic over ordinary, by pair, word and stem, and the curve over (excess, log length)."""
+    """Log-likelihood ratios, toxic over ordinary, by pair, word and stem, and the curve over measures()."""
 
     pairs: dict[tuple[str, str], float] = field(default_factory=dict)
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
     options: Options = Options()
-    curve: tuple[float, float, float] = (0.0, 0.0, -20.0)
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, -20.0)
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """How far the toxic log-likelihood exceeds the ordinary one over the distinct words where they differ by more than options.least_ratio; the log of the length.
@@ -67,10 +73,26 @@ class Model:
                     best[pair[1]] = x
         return sum(best.values()) - least * len(best), math.log1p(len(found))
 
+    def compared(self, text: str | None) -> tuple[float, float]:
+        """The toxic less the ordinary log-likelihood of all words, repeated ones too, divided by their number: of the whole text, and of its most toxic window."""
+        found = WORD.findall((text or "").lower())
+        if not found:
+            return 0.0, 0.0
+        stems, n = self.stems, self.options.stem
+        by_pair = chain((None,), map(self.pairs.get, zip(found, found[1:])))
+        each = [x if x is not None else y if y is not None else stems.get(w[:n], 0.0) for w, x, y in zip(found, by_pair, map(self.words.get, found), strict=True)]
+        upto, size = np.concatenate([[0.0], np.cumsum(each)]), min(self.options.window, len(each))
+        return float(upto[-1]) / len(each), float((upto[size:] - upto[:-size]).max()) / size
+
+    def measures(self, text: str | None) -> tuple[float, float, float, float]:
+        """Evidence, mean log-likelihood difference of the text and of its most toxic window, log of the length."""
+        evidence, length = self.evidence(text)
+        return evidence, *self.compared(text), length
+
     def score(self, text: str | None) -> float:
-        a, b, c = self.curve
-        x, n = self.evidence(text)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, a * x + b * n + c))))
+        *weights, constant = self.curve
+        z = sum(w * x for w, x in zip(weights, self.measures(text), strict=True)) + constant
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, options: Options) -> DataFrame:
@@ -165,35 +187,61 @@ def solved(m: list[list[float]], y: list[float]) -> list[float]:
     return [r[-1] for r in rows]
 
 
-def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Weights of a logistic curve over the columns of x and a constant, by Newton's method with a small penalty. More evidence never lowers a score."""
-    scale = np.append(np.maximum(np.abs(x).max(axis=0), 1e-9), 1.0)
-    x = np.column_stack([x, np.ones(len(x))]) / scale
-    w = np.zeros(x.shape[1])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -500, 500)))
-        gradient = ((p - y)[:, None] * x).sum(axis=0) + 0.01 * w
-        curvature = [[float((p * (1 - p) * x[:, i] * x[:, j]).sum()) + 0.01 * (i == j) for j in range(len(w))] for i in range(len(w))]
-        step = np.array(solved(curvature, gradient.tolist()))
-        w = w - step * min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
-        if np.abs(step).max() < 1e-7:
-            break
-    w = w / scale
-    return (max(float(w[0]), 0.0), *map(float, w[1:]))
+def fitted(x: np.ndarray, y: np.ndarray, rising: int) -> tuple[float, ...]:
+    """Weights of a logistic curve over the columns of x and a constant, by Newton's method with a small penalty.
+
+    More of one of the first `rising` columns never lowers a score: a column that would is left out, and the others are fitted again.
+    """
+    used = list(range(x.shape[1]))
+    while True:
+        scale = np.append(np.maximum(np.abs(x[:, used]).max(axis=0), 1e-9), 1.0)
+        own = np.column_stack([x[:, used], np.ones(len(x))]) / scale
+        w = np.zeros(own.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip((own * w).sum(axis=1), -500, 500)))
+            gradient = ((p - y)[:, None] * own).sum(axis=0) + 0.01 * w
+            curvature = [[float((p * (1 - p) * own[:, i] * own[:, j]).sum()) + 0.01 * (i == j) for j in range(len(w))] for i in range(len(w))]
+            step = np.array(solved(curvature, gradient.tolist()))
+            w = w - step * min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
+            if np.abs(step).max() < 1e-7:
+                break
+        w = w / scale
+        worst = min((i for i, c in enumerate(used) if c < rising), key=lambda i: w[i] * scale[i], default=None)
+        if worst is None or w[worst] >= 0:
+            out = dict(zip(used, w.tolist()))
+            return (*(out.get(c, 0.0) for c in range(x.shape[1])), float(w[-1]))
+        del used[worst]
+
+
+def measured(rows: DataFrame, model: Model) -> list[tuple[tuple[float, ...], int]]:
+    """What the model measures of each of at most options.sample rows, and their labels."""
+
+    def run(batches):
+        for batch in batches:
+            x = [model.measures(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "y"])
+
+    return [(tuple(r["x"]), r["y"]) for r in rows.mapInArrow(trimmed(run), "x array<double>, y int").collect()]
 
 
 def learn(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Model:
-    """The model of the labelled sample; without rows of both classes every score is near 0. Its size is bounded by options.entries."""
+    """The model of the labelled sample; without rows of both classes every score is near 0. Its size is bounded by options.entries.
+
+    The curve is fitted on what models of the other folds measure, as rows look further apart to a model that has learnt from them. If
+    a fold leaves no rows of both classes, all are measured by the model itself.
+    """
     rows = training_rows(docs, labels, options).cache()
     model = ratios(counts(rows, options), options)
     if model.words:
-        def measured(batches):
-            for batch in batches:
-                x = [model.evidence(t) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), batch.column("toxic")], names=["x", "n", "y"])
-
-        known = rows.mapInArrow(trimmed(measured), "x double, n double, y int").collect()  # at most options.sample rows
-        model.curve = fitted(np.array([[r["x"], r["n"]] for r in known]), np.array([r["y"] for r in known], float))
+        fold, known = F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string"))) % options.folds, []
+        for k in range(options.folds):
+            other = ratios(counts(rows.where(fold != k), options), options)
+            if not other.words:
+                known = []
+                break
+            known += measured(rows.where(fold == k), other)
+        known = known or measured(rows, model)
+        model.curve = fitted(np.array([x for x, _ in known]), np.array([y for _, y in known], float), 3)
     rows.unpersist()
     return model
 

@@ -38,6 +38,32 @@ def test_unseen_words_lean_on_their_stem(spark):
     assert model.evidence("zebra") == (0, pytest.approx(0.6931, abs=1e-3)) and model.evidence("")[0] == 0
 
 
+def test_many_weak_words_make_a_text_toxic(spark):
+    """Toxic texts differ from ordinary ones only in how often they have words that both have: no word's ratio is near least_ratio."""
+    rng = random.Random(9)
+    plain, weak = [f"w{i}" for i in range(200)], [f"soft{i}x" for i in range(60)]
+    weak = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for i, w in enumerate(weak)]
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        words = rng.choices(plain, k=60) + [w for w in weak if rng.random() < (0.4 if bad else 0.1)]
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert max(model.words.values()) < model.options.least_ratio
+    held = [r for r in toxicity.scores(docs, labels).collect() if r.held_out]
+    bad = [r for r in held if r.doc_id % 4 == 0]
+    assert sum(r.predicted for r in bad) >= 0.8 * len(bad) and sum(r.predicted for r in held if r.doc_id % 4) <= 0.03 * len(held)
+
+
+def test_compared_is_divided_by_length():
+    model = toxicity.Model(pairs={("a", "b"): 4.0}, words={"a": 1.0, "b": 2.0, "c": -1.0}, stems={"ddddd": -0.5})
+    assert model.compared("a b c dddddd") == (pytest.approx((1 + 4 - 1 - 0.5) / 4),) * 2
+    assert model.compared("c " * 75 + "a " * 25) == (-0.5, 1.0) and model.compared(None) == (0, 0)
+
+
 def test_labels_elsewhere_change_nothing(spark):
     docs, labels, _ = made(spark)
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
