@@ -15,7 +15,7 @@ import re
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from .text import RUN, SEGMENT, Memo, per_text, texts
+from .text import RUN, SEGMENT, Memo, at_hand, per_text, texts
 
 #: The last symbol of a word with an end-of-word suffix, as one character of its own.
 END = 0xF0000
@@ -213,14 +213,9 @@ def _bytes() -> dict[str, int]:
 
 BYTE_OF = _bytes()
 SHOWN = {b: c for c, b in BYTE_OF.items()}
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One for each Python worker and file."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return at_hand("tokens", path, Codec)
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,7 +227,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         return ids, c.decode(ids)
 
     schema = "doc_id long, ids array<int>, decoded string"
-    return texts(docs, id_col, text_col).mapInArrow(per_text(schema, rows, ["ids", "decoded"]), schema)
+    return texts(docs, id_col, text_col).mapInArrow(per_text(schema, rows, ["ids", "decoded"], "tokens"), schema)
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,4 +249,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         return n, hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return texts(docs, id_col, text_col).mapInArrow(per_text(schema, rows, ["n_tokens", "ids_sha256", "decoded_sha256"]), schema)
+    return texts(docs, id_col, text_col).mapInArrow(per_text(schema, rows, ["n_tokens", "ids_sha256", "decoded_sha256"], "tokens"), schema)

@@ -9,12 +9,13 @@ task ever sees a whole class.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
 from dataclasses import dataclass
-from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,63 +23,77 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SEGMENT, kept, texts, trimmed
+from .text import WHITE, at_hand, kept, slices, texts, trimmed
 
 SIZE = 1024
-#: Texts are tokenized in groups of about so many characters, to look up what is new of a group at once.
+#: Longer texts are tokenized in parts of about so many characters.
 GROUP = 1 << 20
 
 
+#: The pre-tokens of byte-level files.
+PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space or of other characters that are left to the library whose work doesn't grow with the square of their length.
+UNBROKEN = re.compile(f"[^{WHITE}]{{1000}}|[{WHITE}]{{1000}}")
+
+
+def byte_symbols() -> dict[str, int]:
+    """The character that stands for each byte in byte-level files: itself if it can be shown, else the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class IdBytes:
-    """Ids as little-endian 32-bit integers, by segments that no pre-token crosses; segments met before are looked up."""
+    """A text's ids as little-endian 32-bit integers.
 
-    def __init__(self, path: str, limit: int = 200_000):
+    Where the file is a byte-level BPE whose ids rise with the order of its merges, tiktoken gives the same ids in a fraction of the time;
+    other files, and texts with a run of a thousand characters of one kind, white or not, go through tokenizers.
+    """
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.limit = limit
-
-    def learn(self, cut: list[list[str]]) -> None:
-        new = list(set(filterfalse(self.known.__contains__, chain.from_iterable(cut))))
-        if self.known and len(self.known) + len(new) > 2 * self.limit:  # what came first is mostly the commonest; unless the texts have changed
-            stale = 4 * len(new) > sum(map(len, cut)) or len(self.known) <= self.limit
-            self.known = {} if stale else dict(islice(self.known.items(), self.limit))
-            return self.learn(cut)
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.known[s] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def __call__(self, group: list[str]) -> Iterator[bytes]:
-        cut = [SEGMENT.findall(t) for t in group]
-        self.learn(cut)
-        for segments in cut:
-            yield b"".join(map(self.known.__getitem__, segments))
-
-
-_ids: dict[str, IdBytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.quick = self.ranked(json.load(f))
+
+    @staticmethod
+    def ranked(spec: dict):
+        """A tiktoken encoding with the file's vocabulary; None if the file isn't of the kind."""
+        import tiktoken
+
+        model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+        plain = model.get("type") == "BPE" and not spec.get("normalizer") and not any(model.get(k) for k in ("dropout", "unk_token", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+        if not plain or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            return None
+        special = {t["content"]: t["id"] for t in added}
+        own = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if any(a >= b for a, b in zip(own, own[1:])):
+            return None
+        symbols = byte_symbols()
+        ranks = {bytes(symbols[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        return tiktoken.Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if len(text) > GROUP:
+            return b"".join(self.part(x) for x in slices(text, GROUP))
+        return self.part(text)
+
+    def part(self, text: str) -> bytes:
+        if self.quick is None or UNBROKEN.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.quick.encode(text, allowed_special="all")
+        return array("I", ids).tobytes()
 
 
 def id_bytes(path: str) -> IdBytes:
-    if path not in _ids:
-        _ids[path] = IdBytes(path)
-    return _ids[path]
-
-
-def groups(values: list[str | None]) -> Iterator[list[str]]:
-    """Consecutive texts, null as empty, of about GROUP characters together."""
-    out, n = [], 0
-    for t in values:
-        out.append(t or "")
-        n += len(out[-1])
-        if n >= GROUP:
-            yield out
-            out, n = [], 0
-    if out:
-        yield out
+    return at_hand("ids", path, IdBytes)
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
@@ -99,19 +114,18 @@ def measure(docs: DataFrame, path: str, end_id: int, size: int, id_col: str, tex
         end = struct.pack("<I", end_id)
         for batch in batches:
             ids, made = batch.column("doc_id").to_pylist(), []
-            for group in groups(batch.column("text").to_pylist()):
-                for data in path_ids(group):
-                    data = memoryview(data + end)
-                    n = len(data) // 4
-                    rest, half = n % (size // 2), n % size >= size // 2
-                    made.append((n, [zlib.crc32(data[4 * a : 4 * b]) for a, b in cuts(n, size)], rest, part, full, halves, seen[rest]))
-                    full += n // size
-                    halves += half
-                    seen[rest] += 1
+            for text in batch.column("text").to_pylist():
+                data = memoryview(path_ids(text) + end)
+                n = len(data) // 4
+                rest, half = n % (size // 2), n % size >= size // 2
+                made.append((n, [zlib.crc32(data[4 * a : 4 * b]) for a, b in cuts(n, size)], rest, part, full, halves, seen[rest]))
+                full += n // size
+                halves += half
+                seen[rest] += 1
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "doc_tokens", "crcs", "rest", "part", "full_before", "halves_before", "rank_in_part"])
 
-    return texts(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, doc_tokens long, crcs array<long>, rest int, part int, full_before long, halves_before long, rank_in_part long")
+    return texts(docs, id_col, text_col).mapInArrow(trimmed(run, "ids"), "doc_id long, doc_tokens long, crcs array<long>, rest int, part int, full_before long, halves_before long, rank_in_part long")
 
 
 @dataclass

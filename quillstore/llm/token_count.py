@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 
 from .bpe import Codec, codec
-from .text import SEGMENT, Memo, per_text, texts
+from .text import SEGMENT, Memo, at_hand, per_text, texts
 
 CHUNK = 1 << 16
 
@@ -124,13 +124,8 @@ class Counter:
         return self.settle(whole.head) + whole.emitted + self.settle(whole.tail)
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return at_hand("tokens", ("counter", path), lambda k: Counter(k[1]))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,4 +139,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUN
         return len((text or "").encode("utf-8", "surrogatepass")), n, n > limit
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-    return texts(docs, id_col, text_col).mapInArrow(per_text(schema, rows, ["n_bytes", "n_tokens", "over_limit"]), schema)
+    return texts(docs, id_col, text_col).mapInArrow(per_text(schema, rows, ["n_bytes", "n_tokens", "over_limit"], "tokens"), schema)
