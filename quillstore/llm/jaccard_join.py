@@ -5,7 +5,7 @@ Every text is its set of word n-grams, as 64-bit hashes. Two sets are linked whe
    one exchange counts them.
 2. What is left is globally ordered, n-grams of few nodes first. Similar sets share an n-gram in their prefixes, so nodes that do are in
    one block, and no link leaves a block.
-3. In a block, sets ordered by the commonest n-gram first go into a trie. A set walks it with one overlap for all sets that share a path;
+3. In parts of a block, sets ordered by the commonest n-gram first go into a trie. A set walks it with one overlap for all sets that share a path;
    subtrees go that are out of reach by their sizes and remaining lengths, or whose sets all are in the set's component already. So a
    group of near copies costs a walk for each, not one for each pair.
 Links are contracted to components.
@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from . import hashes
 from .components import components
+from .hashes import Deal, Entries, Gathered
 from .text import attached, kept, spread, texts, trimmed
 
-#: Larger blocks are dealt to cells of two parts of about this size each.
-BLOCK = 1000
+#: N-grams of a part of a block.
+PART = 60_000
 
 
 def ngrams(text: str | None, n: int = 5) -> np.ndarray:
@@ -58,79 +59,73 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(trimmed(run), "doc_id long, n_shingles long, hi long, lo long")
 
 
+def twice(got: Gathered) -> Gathered:
+    """Each n-gram with two of its sets at most: enough to tell that several have it, so what is common is sent few times."""
+    e = got[0]
+    sig = e.of(0)
+    order = np.lexsort((sig, e.keys))
+    e, sig = e.take(order), sig[order]
+    e = e.take(hashes.first_of_runs(e.keys, sig))  # equal sets of different tasks are one
+    starts = hashes.first_of_runs(e.keys)
+    rank = np.arange(len(e)) - np.repeat(starts, np.diff(np.append(starts, len(e))))
+    return {0: e.take(rank < 2)}
+
+
+def added(got: Gathered) -> Gathered:
+    """Keys with the sums of their counts."""
+    return {0: summed([got[0]])}
+
+
+def summed(parts: list[Entries]) -> Entries:
+    one, inverse = np.unique(np.concatenate([e.keys for e in parts]), return_inverse=True)
+    return Entries(one, columns=[np.bincount(inverse, weights=np.concatenate([e.columns[0] for e in parts]), minlength=len(one)).astype(np.uint64)])
+
+
 def lone(docs: DataFrame, n: int, buckets: int) -> DataFrame:
     """lo, lone: for each set, how many of its n-grams no other set has. Sets without any are missing.
 
-    A task sends each n-gram of its sets at most twice, which is enough to tell that two have it: common ones stay few. They are compared
-    by 48 bits; a chance equality can only make the count too low, which keeps a node for the exact steps.
+    N-grams are compared by 48 bits; a chance equality can only make the count too low, which keeps a node for the exact steps.
     """
+    by_ngram, by_set = Deal(buckets, 48, twice), Deal(buckets, 64, added)
 
-    def send(batches):
-        tokens, owners, seen, size = [], [], {}, 0
-
-        def flush():
-            t = np.concatenate(tokens)
-            o = np.repeat(np.arange(len(owners), dtype=np.uint32), [len(x) for x in tokens])
-            order = np.argsort(t, kind="stable")
-            t, o = t[order], o[order]
-            starts = hashes.first_of_runs(t)
-            rank = np.arange(len(t)) - np.repeat(starts, np.diff(np.append(starts, len(t))))
-            t, o, sigs = t[rank < 2], o[rank < 2], np.array(owners, np.int64)
-            edges, rows = hashes.edges_of(t, buckets), []
-            for b in range(buckets):
-                part = slice(edges[b], edges[b + 1])
-                own, inverse = np.unique(o[part], return_inverse=True)
-                if len(own):
-                    rows.append((b, hashes.packed([t[part] >> np.uint64(16), inverse.astype(np.uint16 if len(own) < 65536 else np.uint32), sigs[own]])))
-            return hashes.sent(rows)
-
+    def distinct(batches):
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 x = ngrams(text, n)
-                sig = hashes.digest(x)[1]
-                if len(x) and sig not in seen:
-                    seen[sig] = None
-                    tokens.append(x)
-                    owners.append(sig)
-                    size += len(x)
-                    if size >= hashes.FLUSH:
-                        yield flush()
-                        tokens, owners, seen, size = [], [], {}, 0
-        if size:
-            yield flush()
+                if len(x):
+                    yield hashes.digest(x)[1], x
+
+    def made(held):
+        held = list(dict(held).items())  # equal sets once
+        t = np.concatenate([x for _, x in held]) >> np.uint64(16)
+        return {0: hashes.sorted_entries(t, np.repeat(np.arange(len(held)), [len(x) for _, x in held]), [], [np.array([s for s, _ in held], np.int64)])}
+
+    def send(batches):
+        for got in hashes.gathered(distinct(batches), by_ngram.flush, made):
+            yield by_ngram.rows(got)
 
     def count(batches):
-        sigs, counts = [], []
-        for values in hashes.received(batches).values():
-            parts = [hashes.unpacked(v) for v in values]
-            t = np.concatenate([p[0] for p in parts])
-            s = np.concatenate([p[2][p[1]] for p in parts])
-            order = np.lexsort((s, t))
-            t, s = t[order], s[order]
-            one = hashes.first_of_runs(t, s)
-            t, s = t[one], s[one]
+        got = hashes.received(batches)
+        if 0 in got:
+            e = Entries.merged(got[0])
+            sig = e.of(0)
+            order = np.lexsort((sig, e.keys))
+            t, sig = e.keys[order], sig[order]
+            one = hashes.first_of_runs(t, sig)
+            t, sig = t[one], sig[one]
             starts = hashes.first_of_runs(t)
-            single = np.diff(np.append(starts, len(t))) == 1
-            sig, found = np.unique(s[starts[single]], return_counts=True)
-            sigs.append(sig)
-            counts.append(found)
-        if sigs:
-            sig, found = summed(np.concatenate(sigs), np.concatenate(counts))
-            yield hashes.grouped(sig.view(np.uint64), [sig, found], buckets)
+            single = sig[starts[np.diff(np.append(starts, len(t))) == 1]].view(np.uint64)
+            if len(single):
+                yield by_set.rows({0: Entries(np.sort(single), columns=[np.ones(len(single), np.uint64)])})
 
     def add(batches):
-        for values in hashes.received(batches).values():
-            sig, found = summed(*(np.concatenate(c) for c in zip(*map(hashes.unpacked, values), strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(found, pa.int64())], names=["lo", "lone"])
-
-    got = docs.mapInArrow(trimmed(send), hashes.SENT).repartition(buckets, "bucket").mapInArrow(trimmed(count), hashes.SENT)
-    return got.repartition(buckets, "bucket").mapInArrow(trimmed(add), "lo long, lone long")
+        got = hashes.received(batches)
+        if 0 in got:
+            e = summed(got[0])
+            yield pa.RecordBatch.from_arrays([pa.array(e.keys.view(np.int64)), pa.array(e.columns[0].astype(np.int64))], names=["lo", "lone"])
 
-
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their counts."""
-    one, inverse = np.unique(keys, return_inverse=True)
-    return one, np.bincount(inverse, weights=counts, minlength=len(one)).astype(np.int64)
+    counted = by_ngram.exchanged(docs.mapInArrow(trimmed(send), hashes.SENT)).mapInArrow(trimmed(count), hashes.SENT)
+    return by_set.exchanged(counted).mapInArrow(trimmed(add), "lo long, lone long")
 
 
 def blocks(nodes: DataFrame, percent: int) -> DataFrame:
@@ -212,12 +207,16 @@ class Trie:
             stack += [(child, overlap) for child in node.below.values()]
 
 
-def linked(first: list[np.ndarray], second: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links among first and, if there is a second, between the two, as far as they join components. Indices count on from first to second."""
+def linked(first: list[np.ndarray], second: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links among first or, if there is a second, between the two, as far as they join components. Indices count on from first to second.
+
+    known: the component of each so far, if any is known.
+    """
     both = [*first, *second]
     often = Counter(np.concatenate(both).tolist())
     place = {t: i for i, t in enumerate(sorted(often, key=lambda t: (-often[t], t)))}
-    up, out = list(range(len(both))), []
+    leads: dict[int, int] = {}
+    up, out = [leads.setdefault(c, i) for i, c in enumerate(known)] if known else list(range(len(both))), []
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -241,27 +240,74 @@ def linked(first: list[np.ndarray], second: list[np.ndarray], percent: int) -> l
     return out
 
 
-def links(nodes: DataFrame, block: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that join all components. Blocks over BLOCK sets are cut into parts; every two parts, and each part alone, are a cell."""
-    sizes = block.groupBy("block").agg(F.count("*").alias("members")).where("members > 1")
-    parts = block.join(sizes, "block").select("node", "block", F.expr(f"cast((members + {BLOCK - 1}) div {BLOCK} as int)").alias("parts"))
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    cells = (
-        nodes.join(parts, "node")
-        .withColumn("part", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("node", "tokens", "part", "block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    )
+def parted(nodes: DataFrame) -> DataFrame:
+    """nodes with part and parts: those of a block in parts of about PART n-grams each. Blocks of one node are left out."""
+    sizes = nodes.groupBy("block").agg(F.count("*").alias("members"), F.sum("n").alias("volume")).where("members > 1")
+    own = sizes.select("block", F.expr(f"cast(least(members, (volume + {PART - 1}) div {PART}) as int)").alias("parts"))
+    return nodes.join(own, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
+def alone(nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b: links within each part."""
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("node", kind="stable")
-        i, j = cell["i"].iloc[0], cell["j"].iloc[0]
-        first, second = cell[cell["part"] == i], cell[cell["part"] == j] if i != j else cell[:0]
-        ids = [*first["node"], *second["node"]]
-        got = linked([np.asarray(x) for x in first["tokens"]], [np.asarray(x) for x in second["tokens"]], percent) if len(ids) > 1 and len(first) else []
+        ids = cell["node"].tolist()
+        got = linked([np.asarray(x) for x in cell["tokens"]], [], percent) if len(ids) > 1 else []
         return pd.DataFrame([(ids[a], ids[b]) for a, b in got], columns=["a", "b"], dtype="int64")
 
-    return cells.groupBy("block", "i", "j").applyInPandas(run, "a long, b long")
+    return nodes.select("block", "part", "node", "tokens").groupBy("block", "part").applyInPandas(run, "a long, b long")
+
+
+def across(sides: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between both sides (0, 1) of each cell, of nodes that aren't in one component yet."""
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(["side", "node"], kind="stable")
+        ids, n = cell["node"].tolist(), int((cell["side"] == 0).sum())
+        tokens = [np.asarray(x) for x in cell["tokens"]]
+        got = linked(tokens[:n], tokens[n:], percent, cell["component"].tolist()) if 0 < n < len(ids) else []
+        return pd.DataFrame([(ids[a], ids[b]) for a, b in got], columns=["a", "b"], dtype="int64")
+
+    return sides.groupBy("block", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def links(nodes: DataFrame, block: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join all components of nodes (node, n, tokens).
+
+    Blocks are cut into parts of a bounded number of n-grams, in which links are looked for first. Of a block of several parts, one node
+    for each part and component is then compared with the others: a group of near copies is one component after that. What is left to
+    compare are the nodes outside the block's largest component with all of the block, by cells of a part of either: the work is the
+    block times what isn't in that component, not the block's square.
+    """
+    own = kept(parted(nodes.join(block, "node")))
+    edges = kept(alone(own, percent))
+    wide = own.where("parts > 1")
+    if wide.isEmpty():
+        return edges
+
+    def named(found: DataFrame) -> DataFrame:
+        return wide.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    leaders = named(edges).groupBy("block", "part", "component").agg(F.min("node").alias("node")).select("node").distinct()
+    more = kept(alone(parted(wide.drop("part", "parts").join(leaders, "node")), percent))
+    edges = edges.unionByName(more)
+    now = kept(named(edges))
+    sizes = now.groupBy("block", "component").agg(F.sum("n").alias("volume"))
+    largest = sizes.groupBy("block").agg(F.max_by("component", F.struct("volume", "component")).alias("largest"))
+    others = now.join(largest, "block").where("component <> largest")
+    volume = others.groupBy("block").agg(F.expr(f"cast((sum(n) + {PART - 1}) div {PART} as int)").alias("cuts"))
+    each = now.join(volume, "block").select("block", "node", "component", "tokens", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("j"), F.lit(0).alias("side"))
+    minor = others.join(volume, "block").select("block", "node", "component", "tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("j"), F.lit(1).alias("side"))
+    return edges.unionByName(kept(across(each.unionByName(minor), percent)))
+
+
+def same_ids(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """a, b: links between the nodes of one doc_id's different sets."""
+    several = kept(found.groupBy("doc_id").agg(F.min(F.struct("hi", "lo", "n_shingles")).alias("x"), F.max(F.struct("hi", "lo", "n_shingles")).alias("y")).where("x <> y").select("doc_id"))
+    of = attached(found, several, "doc_id", "left_semi").join(groups, ["hi", "lo", "n_shingles"]).select("doc_id", "node").distinct()
+    least = of.groupBy("doc_id").agg(F.min("node").alias("least"))
+    return of.join(least, "doc_id").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,7 +334,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
 
     nodes = kept(attached(own, left, "doc_id", "inner").mapInArrow(trimmed(tokens), "node long, n long, tokens array<long>"))
     block = kept(blocks(nodes, percent))
-    joined = components(links(nodes, block, percent))
+    joined = components(links(nodes, block, percent).unionByName(same_ids(usable, groups)))
     named = groups.join(joined, "node", "left").select(F.col("hi").alias("g_hi"), F.col("lo").alias("g_lo"), F.coalesce("component", "node").alias("component"))
     return found.join(named, (found["hi"] == F.col("g_hi")) & (found["lo"] == F.col("g_lo")) & (found["n_shingles"] > 0) & found["doc_id"].isNotNull(), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

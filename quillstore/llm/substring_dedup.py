@@ -13,6 +13,7 @@ Exact copies of whole texts are found by digest, and only the smallest of each t
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashes
+from .hashes import ANSWERS, Deal, Entries, Gathered
 from .text import attached, kept, spread, texts, trimmed, words
 
 WINDOW = 50
@@ -50,9 +52,19 @@ def runs(positions: np.ndarray, reach: int, last: int) -> np.ndarray:
     return np.stack([low[new], np.append(high[new[1:] - 1], high[-1])], axis=1).reshape(-1)
 
 
-def pieces(ids: np.ndarray, keys: np.ndarray, positions: np.ndarray, groups: int) -> pa.RecordBatch:
+#: Kinds of entries on their way.
+PROBES, BLOCKS = 0, 1
+
+
+def found_at(ids: np.ndarray, keys: np.ndarray, positions: np.ndarray) -> Entries:
     """Positions on their way to the task that gets the text's others."""
-    return hashes.grouped(hashes.mixed(ids.view(np.uint64) ^ keys.view(np.uint64)), [ids, keys, positions.astype(np.uint32)], groups)
+    key = hashes.mixed(ids.view(np.uint64) ^ keys.view(np.uint64))
+    order = np.lexsort((positions, keys, ids, key))
+    key, ids, keys, positions = key[order], ids[order], keys[order], positions[order]
+    one = hashes.first_of_runs(key, ids, keys)
+    owner = np.zeros(len(ids), np.int64)
+    owner[one[1:]] = 1
+    return Entries(key, np.cumsum(owner), [hashes.small(positions)], [ids[one], keys[one]])
 
 
 def indexed(h: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,140 +83,160 @@ def meets(h: np.ndarray, ids: np.ndarray, index: np.ndarray, low: np.ndarray, hi
     return (index[at] == h) & ((low[at] != ids) | (high[at] != ids))
 
 
-def small(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint16 if not len(a) or a.max() < 65536 else np.uint32)
+def spread_of_runs(sorted_keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry, the smallest and the largest document that has its key here."""
+    first = hashes.first_of_runs(sorted_keys)
+    n = np.diff(np.append(first, len(sorted_keys)))
+    return np.repeat(np.minimum.reduceat(ids, first), n), np.repeat(np.maximum.reduceat(ids, first), n)
 
 
-def hits(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """pieces() of where a rolling window of half the length equals a block of another document.
+def with_answers(got: Gathered, probes: Entries, hit: np.ndarray) -> Gathered:
+    """What is left of the probes, and the hits besides the answers that there are."""
+    answers = [got[ANSWERS]] if ANSWERS in got else []
+    if hit.any():
+        answers.append(found_at(probes.of(0)[hit], probes.of(1)[hit], probes.columns[0][hit]))
+    out = {k: e for k, e in got.items() if k not in (PROBES, ANSWERS)} | {PROBES: probes.take(~hit)}
+    return out | ({ANSWERS: Entries.merged(answers)} if answers else {})
 
-    A probe that meets a block of another document of its task is a hit at once; only others are sent, and of equal blocks of a task only
-    the smallest and largest document. So what is common comes few times to the task that compares it. 48 bits are compared here: a
-    chance equality costs step 2 some work and changes nothing.
-    """
-    block = window // 2
 
-    def send(batches):
-        held, size = [], 0
-
-        def flush():
-            ids, keys = (np.array([x[c] for x in held], np.int64) for c in (0, 1))
-            counts = [len(x[2]) for x in held]
-            h = np.concatenate([x[2] for x in held])
-            owner = np.repeat(np.arange(len(held)), counts)
-            position = np.arange(len(h)) - (np.cumsum(counts) - counts)[owner]
-            at = np.flatnonzero(position % block == 0)
-            index, low, high = indexed(h[at], ids[owner[at]], ids[owner[at]])
-            hit = meets(h, ids[owner], index, low, high)
-            rows = []
-            if hit.any():  # below 0: already hits, for any task
-                o = owner[hit]
-                rows.append((-1 - int(h[0] % np.uint64(buckets)), hashes.packed([ids[o], keys[o], small(position[hit])])))
-            rest = np.flatnonzero(~hit)
-            order = rest[np.argsort(h[rest], kind="stable")]
-            h, owner, position = h[order], owner[order], position[order]
-            probe_edges, block_edges = hashes.edges_of(h, buckets), hashes.edges_of(index, buckets)
-            for b in range(buckets):
-                x, y = slice(probe_edges[b], probe_edges[b + 1]), slice(block_edges[b], block_edges[b + 1])
-                own, inverse = np.unique(owner[x], return_inverse=True)
-                rows.append((b, hashes.packed([h[x] >> np.uint64(16), small(inverse), small(position[x]), ids[own], keys[own], index[y] >> np.uint64(16), low[y], high[y]])))
-            return hashes.sent(rows)
+def met(got: Gathered) -> Gathered:
+    """Probes that meet a block of another document of the task, or a probe of one, are hits at once; of equal blocks one entry stays.
 
+    So however many documents have a passage, a task sends one document's probes of it. A hit only makes step 2 look closer, so probes
+    that met nothing but each other cost some work and change nothing.
+    """
+    out = dict(got)
+    if BLOCKS in got:
+        e = got[BLOCKS]
+        out[BLOCKS] = Entries(*(x := indexed(e.keys, *e.columns))[:1], columns=list(x[1:]))
+    if PROBES not in got or not len(got[PROBES]):
+        return out
+    probes = got[PROBES]
+    ids = probes.of(0)
+    low, high = spread_of_runs(probes.keys, ids)
+    hit = low != high
+    if BLOCKS in out:
+        hit |= meets(probes.keys, ids, out[BLOCKS].keys, *out[BLOCKS].columns)
+    return with_answers(out, probes, hit)
+
+
+def answered(got: dict[int, list[Entries]], deal: Deal, hits_of) -> Iterator[pa.RecordBatch]:
+    """Of a task's entries, the answers it got and those hits_of finds, on their way to their texts."""
+    answers = [*got.get(ANSWERS, []), *hits_of(got)]
+    if answers:
+        yield deal.rows({PROBES: Entries.merged(answers)})
+
+
+def hits(docs: DataFrame, window: int, buckets: int, to: Deal) -> DataFrame:
+    """Where a rolling window of half the length equals a block of another document.
+
+    48 bits are compared here: a chance equality costs step 2 some work and changes nothing.
+    """
+    block, deal = window // 2, Deal(buckets, 48, met)
+
+    def rolling(batches):
         for batch in batches:
             for i, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
-                rolling = hashes.window_hashes(hashes.word_hashes(words(text)), block)
-                if len(rolling) > window - block:
-                    held.append((i, key, rolling))
-                    size += len(rolling)
-                    if size >= hashes.FLUSH:
-                        yield flush()
-                        held, size = [], 0
-        if size:
-            yield flush()
+                h = hashes.window_hashes(hashes.word_hashes(words(text)), block)
+                if len(h) > window - block:
+                    yield i, key, h >> np.uint64(16)
+
+    def made(held):
+        ids, keys = (np.array([x[c] for x in held], np.int64) for c in (0, 1))
+        counts = [len(x[2]) for x in held]
+        h, owner = np.concatenate([x[2] for x in held]), np.repeat(np.arange(len(held)), counts)
+        position = np.arange(len(h)) - (np.cumsum(counts) - counts)[owner]
+        at = np.flatnonzero(position % block == 0)
+        blocks = Entries(*(x := indexed(h[at], ids[owner[at]], ids[owner[at]]))[:1], columns=list(x[1:]))
+        return {PROBES: hashes.sorted_entries(h, owner, [hashes.small(position)], [ids, keys]), BLOCKS: blocks}
+
+    def send(batches):
+        for got in hashes.gathered(rolling(batches), deal.flush, made):
+            yield deal.rows(got)
 
     def compare(batches):
-        met = []
-        for bucket, values in hashes.received(batches).items():
-            parts = [hashes.unpacked(v) for v in values]
-            if bucket < 0:
-                met += parts
-                continue
-            index, low, high = indexed(*(np.concatenate([p[c] for p in parts]) for c in (5, 6, 7)))
-            for h, inverse, positions, ids, keys, *_ in parts:
-                if len(h):
-                    hit = meets(h, ids[inverse], index, low, high)
+        def hits_of(got):
+            if BLOCKS in got:
+                index = indexed(*(np.concatenate(c) for c in zip(*((e.keys, *e.columns) for e in got[BLOCKS]), strict=True)))
+                for e in got.get(PROBES, []):
+                    ids = e.of(0)
+                    hit = meets(e.keys, ids, *index)
                     if hit.any():
-                        met.append([ids[inverse[hit]], keys[inverse[hit]], positions[hit]])
-        if met:
-            yield pieces(*(np.concatenate(c) for c in zip(*met, strict=True)), buckets)
+                        yield found_at(ids[hit], e.of(1)[hit], e.columns[0][hit])
 
-    return docs.mapInArrow(trimmed(send), hashes.SENT).repartition(buckets, "bucket").mapInArrow(trimmed(compare), hashes.SENT)
+        yield from answered(hashes.received(batches), to, hits_of)
 
+    return deal.exchanged(docs.mapInArrow(trimmed(send), hashes.SENT)).mapInArrow(trimmed(compare), hashes.SENT)
 
-def repeated(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """pieces() of the starts of windows, among those of the column ranges, that also start in a smaller document."""
 
-    def send(batches):
-        held, size = [], 0
-
-        def flush():
-            ids, keys = (np.array([x[c] for x in held], np.int64) for c in (0, 1))
-            owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
-            a, b, p = (np.concatenate([x[c] for x in held]) for c in (2, 3, 4))
-            order = np.argsort(a, kind="stable")
-            a, b, p, owner = a[order], b[order], p[order], owner[order]
-            edges, rows = hashes.edges_of(a, buckets), []
-            for i in range(buckets):
-                x = slice(edges[i], edges[i + 1])
-                own, inverse = np.unique(owner[x], return_inverse=True)
-                if len(own):
-                    rows.append((i, hashes.packed([a[x], b[x], small(inverse), small(p[x]), ids[own], keys[own]])))
-            return hashes.sent(rows)
+def smallest(got: Gathered) -> Gathered:
+    """Entries (a; b, position) of windows that a smaller document of the task has too are answers; only those of the smallest are sent."""
+    if PROBES not in got or not len(got[PROBES]):
+        return got
+    probes, later = later_ones(got[PROBES])
+    return with_answers(got, Entries(probes.keys, probes.owner, probes.columns, probes.owners), later)
 
+
+def later_ones(e: Entries) -> tuple[Entries, np.ndarray]:
+    """Entries sorted by both hashes, and which of them have a smaller document with the same."""
+    order = np.lexsort((e.columns[1], e.keys))
+    e = e.take(order)
+    ids = e.of(0)
+    first = hashes.first_of_runs(e.keys, e.columns[1])
+    least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids))))
+    return e, ids > least
+
+
+def repeated(docs: DataFrame, window: int, buckets: int, to: Deal) -> DataFrame:
+    """The starts of windows, among those of the column ranges, that also start in a smaller document."""
+    deal = Deal(buckets, 64, smallest)
+
+    def windows(batches):
         for batch in batches:
             for i, key, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text", "ranges")), strict=True):
                 h = hashes.word_hashes(words(text))
                 a, b = hashes.window_hashes(h, window), hashes.window_hashes(h, window, 1)
                 at = np.concatenate([np.empty(0, np.int64), *(np.arange(x, min(y + 1, len(a))) for x, y in zip(spans[::2], spans[1::2], strict=True))]).astype(np.int64)
                 if len(at):
-                    held.append((i, key, a[at], b[at], at))
-                    size += len(at)
-                    if size >= hashes.FLUSH:
-                        yield flush()
-                        held, size = [], 0
-        if size:
-            yield flush()
+                    yield i, key, a[at], b[at], at
+
+    def made(held):
+        ids, keys = (np.array([x[c] for x in held], np.int64) for c in (0, 1))
+        owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+        a, b, p = (np.concatenate([x[c] for x in held]) for c in (2, 3, 4))
+        return {PROBES: hashes.sorted_entries(a, owner, [hashes.small(p), b], [ids, keys])}
+
+    def send(batches):
+        for got in hashes.gathered(windows(batches), deal.flush, made):
+            yield deal.rows(got)
 
     def compare(batches):
-        met = []
-        for values in hashes.received(batches).values():
-            parts = [hashes.unpacked(v) for v in values]
-            a, b, p, ids, keys = (np.concatenate(c) for c in zip(*((x[0], x[1], x[3], x[4][x[2]], x[5][x[2]]) for x in parts), strict=True))
-            order = np.lexsort((ids, b, a))
-            a, b, p, ids, keys = a[order], b[order], p[order], ids[order], keys[order]
-            first = hashes.first_of_runs(a, b)
-            later = ids > np.repeat(ids[first], np.diff(np.append(first, len(a))))
-            if later.any():
-                met.append([ids[later], keys[later], p[later]])
-        if met:
-            yield pieces(*(np.concatenate(c) for c in zip(*met, strict=True)), buckets)
-
-    return docs.mapInArrow(trimmed(send), hashes.SENT).repartition(buckets, "bucket").mapInArrow(trimmed(compare), hashes.SENT)
-
-
-def ranges(found: DataFrame, reach: int, buckets: int) -> DataFrame:
+        def hits_of(got):
+            if PROBES in got:
+                e, later = later_ones(Entries.merged(got[PROBES]))
+                if later.any():
+                    yield found_at(e.of(0)[later], e.of(1)[later], e.columns[0][later])
+
+        yield from answered(hashes.received(batches), to, hits_of)
+
+    return deal.exchanged(docs.mapInArrow(trimmed(send), hashes.SENT)).mapInArrow(trimmed(compare), hashes.SENT)
+
+
+def ranges(found: DataFrame, reach: int, deal: Deal) -> DataFrame:
     """doc_id, key, ranges: the runs of window starts that a text's positions give, `reach` words back from each."""
 
     def run(batches):
-        for values in hashes.received(batches).values():
-            ids, keys, positions = (np.concatenate(c) for c in zip(*map(hashes.unpacked, values), strict=True))
+        got = hashes.received(batches)
+        if PROBES in got:
+            e = Entries.merged(got[PROBES])
+            ids, keys, positions = e.of(0), e.of(1), e.columns[0].astype(np.int64)
             order = np.lexsort((positions, keys, ids))
-            ids, keys, positions = ids[order], keys[order], positions[order].astype(np.int64)
+            ids, keys, positions = ids[order], keys[order], positions[order]
             one = hashes.first_of_runs(ids, keys)
-            got = [runs(p, reach, 1 << 40) for p in np.split(positions, one[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[one], pa.int64()), pa.array(keys[one], pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "key", "ranges"])
+            spans = [runs(p, reach, 1 << 40) for p in np.split(positions, one[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[one], pa.int64()), pa.array(keys[one], pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=["doc_id", "key", "ranges"])
 
-    return found.repartition(buckets, "bucket").mapInArrow(trimmed(run), "doc_id long, key long, ranges array<long>")
+    return deal.exchanged(found).mapInArrow(trimmed(run), "doc_id long, key long, ranges array<long>")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -216,8 +248,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     total = firsts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     buckets = spread(docs.sparkSession, total, hashes.PER_TASK)
     # step 1 reads copies too, as leaving them out would need the texts joined; their hits end here
-    starts = kept(ranges(hits(own, window, buckets), window - window // 2, buckets).join(copies, ["doc_id", "key"], "left_anti"))
-    smaller = ranges(repeated(attached(own, starts, ["doc_id", "key"], "inner"), window, buckets), 0, buckets)
+    to = Deal(buckets)
+    starts = kept(ranges(hits(own, window, buckets, to), window - window // 2, to).join(copies, ["doc_id", "key"], "left_anti"))
+    smaller = ranges(repeated(attached(own, starts, ["doc_id", "key"], "inner"), window, buckets, to), 0, to)
     whole = copies.select("doc_id", "key", F.lit(None).cast("array<long>").alias("ranges"), F.lit(True).alias("copy"))
     return kept(smaller.select("doc_id", "key", "ranges", F.lit(False).alias("copy")).unionByName(whole))
 

@@ -26,7 +26,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b) or ids[i] == ids[j]:
                 x, y = root(ids[i]), root(ids[j])
                 up[max(x, y)] = min(x, y)
     return sorted((i, len(s), root(i)) for i, s in zip(ids, sets, strict=True))
@@ -49,11 +49,14 @@ def corpus(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1000), (2, 7)])
-def test_against_brute_force(spark, seed, block, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(hashes, "FLUSH", 3000)
+@pytest.mark.parametrize("seed,part,fan", [(1, 60_000, 256), (2, 300, 3)])
+def test_against_brute_force(spark, seed, part, fan, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    if fan < 256:  # several rounds of small values
+        for name, value in (("FAN", fan), ("PER_ROW", 64), ("PER_TASK", 700)):
+            monkeypatch.setattr(hashes, name, value)
     rows = corpus(seed)
+    rows += [(rows[3][0], rows[90][1]), (rows[5][0], "only here " * 9), (1000, "only here " * 9)]  # one document of several texts
     got = jaccard_join.join(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_shingles string").repartition(3)).collect()
     assert sorted(map(tuple, got)) == brute(rows)
 
@@ -105,3 +108,35 @@ def test_hashes_and_packing():
         assert len(got) == 51 - n and len(same) == len({tuple(h[i : i + n]) for i in range(51 - n)})
     arrays = [np.arange(10, dtype=np.uint64), np.empty(0, np.int64), np.array([3, 1], np.uint16)]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, hashes.unpacked(hashes.packed(arrays)), strict=True))
+
+
+@pytest.mark.parametrize("buckets,fan", [(1, 4), (4, 4), (30, 4), (1000, 3)])
+def test_deal_brings_all_entries_to_their_bucket(spark, buckets, fan):
+    rng = np.random.default_rng(buckets)
+    deal = hashes.Deal(buckets, 64, None, fan, 16)
+    assert deal.widths[-1] == 1 and all(-(-a // b) <= fan for a, b in zip([buckets, *deal.widths], deal.widths))
+
+    def send(batches):
+        for batch in batches:
+            ids = np.array(batch.column("id").to_pylist(), np.int64)
+            for part in np.array_split(ids, 3):
+                if len(part):
+                    yield deal.rows({7: hashes.sorted_entries(hashes.mixed(part.view(np.uint64)), np.arange(len(part)), [hashes.small(part)], [part])})
+
+    def read(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for e in hashes.received(batches).get(7, []):
+            assert (np.diff(e.keys.astype(object)) >= 0).all() and (e.of(0) == e.columns[0]).all()
+            yield pa.RecordBatch.from_arrays([pa.array(e.of(0)), pa.array([int(k) * buckets >> 64 for k in e.keys.tolist()], pa.int64()), pa.array([TaskContext.get().partitionId()] * len(e), pa.int64())], names=["id", "bucket", "task"])
+
+    n = int(rng.integers(2000, 3000))
+    got = deal.exchanged(spark.range(n).mapInArrow(send, hashes.SENT)).mapInArrow(read, "id long, bucket long, task long").collect()
+    assert sorted(r.id for r in got) == list(range(n)) and all(r.bucket == r.task for r in got)
+
+
+def test_hot_keys_are_sent_few_times():
+    ids = np.arange(1000, dtype=np.int64)
+    e = hashes.sorted_entries(np.full(1000, 9, np.uint64), np.arange(1000), [], [ids])
+    assert len(jaccard_join.twice({0: e})[0]) == 2

@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
+from quillstore.llm import hashes
 from quillstore.llm import substring_dedup as sd
 
 
@@ -46,8 +48,11 @@ def corpus(seed, n=120, window=50):
     return rows
 
 
-@pytest.mark.parametrize("seed,window", [(1, 50), (2, 7)])
-def test_against_brute_force(spark, seed, window):
+@pytest.mark.parametrize("seed,window,fan", [(1, 50, 256), (2, 7, 3)])
+def test_against_brute_force(spark, seed, window, fan, monkeypatch):
+    if fan < 256:  # several rounds of small values
+        for name, value in (("FAN", fan), ("PER_ROW", 256), ("PER_TASK", 4000)):
+            monkeypatch.setattr(hashes, name, value)
     rows = corpus(seed, window=window)
     rows += [(None, rows[0][1]), (rows[1][0], rows[1][1]), (rows[2][0], rows[5][1]), (500, None), (501, ""), (502, "loop " * 20000), (503, "loop " * 100)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int").repartition(4)
@@ -55,3 +60,13 @@ def test_against_brute_force(spark, seed, window):
     whole = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in sd.kept_texts(docs, window).collect()]
     assert sorted(whole, key=str) == brute(rows, window)
     assert sd.kept_texts(docs.limit(0), window).count() == 0
+
+
+def test_a_common_passage_is_sent_once_for_each_task():
+    rows = [{"h": np.array([7, 7, 9], np.uint64), "id": i} for i in range(100)]
+    owner = np.repeat(np.arange(100), 3)
+    probes = hashes.sorted_entries(np.concatenate([r["h"] for r in rows]), owner, [hashes.small(np.tile(np.arange(3), 100)), np.zeros(300, np.uint64)], [np.arange(100, dtype=np.int64), np.zeros(100, np.int64)])
+    got = sd.smallest({sd.PROBES: probes})
+    assert len(got[sd.PROBES]) == 3 and set(got[sd.PROBES].of(0).tolist()) == {0} and len(got[hashes.ANSWERS]) == 297
+    met = sd.met({sd.PROBES: probes, sd.BLOCKS: hashes.Entries(np.array([7], np.uint64), columns=[np.array([0]), np.array([0])])})
+    assert len(met[sd.PROBES]) == 0 and len(met[hashes.ANSWERS]) == 300
