@@ -1,12 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary texts, give each word a probability. Counts are numbers of documents, discounted by D; what is
-taken off goes to the next level: from a pair of words to the word, from the word to its stem (the first letters), from the stem to a
-level that both classes share. There, as in Kneser-Ney, not frequency counts but the number of continuations: how many words have the
-stem, how many stems there are. A word that either class has rarely thus leans on its stem, and unknown stems make no difference. A text's
-differences of both log-likelihoods, over all its words, are divided by its length, for the whole text and for its most toxic window; its
-evidence is the sum over the distinct words that tell the classes apart most. A logistic curve over these and the length makes a score from 0
-to 1. It is fitted on training rows, each measured by a model that hasn't seen it.
+Two models, of toxic and of ordinary texts, give each word a probability. As in Kneser-Ney, a word counts by its continuations: the number
+of distinct words that it follows in texts of the class, discounted by D. What is taken off goes to the next level, the word's stem (its
+first letters), and from there to one that both classes share: a stem's share of all words, a word's of its stem. All that the sample has
+is kept; a rare expression leans on its stem by the shared counts, and an unknown stem makes no difference. Both classes give the lower
+levels the same weight, so that words which neither has seen favour none.
+
+A text's toxic and ordinary log-likelihoods are compared by their difference, divided by the number of words: of the whole text, and of its
+1, 2, 4 ... most toxic distinct words, as a long text is toxic if a few expressions in it are. A logistic curve over these means and the
+length makes a score from 0 to 1. It is fitted on training rows, each measured by a model that hasn't seen it.
 """
 
 from __future__ import annotations
@@ -15,17 +17,17 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import per_text, texts, trimmed
 
 WORD = re.compile(r"\w+")
-#: Counts that a task sums before it sends them.
+#: Entries that a task holds before it sends them.
 HELD = 200_000
 
 
@@ -33,61 +35,70 @@ HELD = 200_000
 class Options:
     #: At most so many labelled rows, those with the lowest checksums, are learnt from.
     sample: int = 8000
-    #: Pairs, words and stems that fewer training documents have are left to the next level.
-    least: int = 5
-    #: At most so many entries of a level, the most frequent, are kept.
-    entries: int = 200_000
     discount: float = 0.75
+    #: The weight of the next level, in both classes.
+    backoff: float = 0.5
     stem: int = 5
-    #: Words of a smaller log-likelihood ratio are no evidence.
-    least_ratio: float = 3.0
-    #: Words of the windows whose mean is taken besides the whole text's.
-    window: int = 25
+    #: Of so many of a text's most toxic words the mean is taken, besides the whole text's.
+    tops: tuple[int, ...] = (1, 2, 4, 8, 16, 32)
     #: Parts of the training rows; each is measured by the model of the others.
     folds: int = 2
     threshold: float = 0.7
 
 
+def hashed(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+
+
 @dataclass
-class Model:
-    """Log-likelihood ratios, toxic over ordinary, by pair, word and stem, and the curve over measures()."""
+class Table:
+    """Log-likelihood ratios, toxic over ordinary, by the hash of a word or stem."""
+
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    ratios: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))
+
+    @classmethod
+    def of(cls, names: list[str], ratios: np.ndarray) -> Table:
+        keys = hashed(names)
+        order = np.argsort(keys)
+        return cls(keys[order], ratios[order].astype(np.float32))
 
-    pairs: dict[tuple[str, str], float] = field(default_factory=dict)
-    words: dict[str, float] = field(default_factory=dict)
-    stems: dict[str, float] = field(default_factory=dict)
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios, and which keys there are."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.ratios[at].astype(float), self.keys[at] == keys
+
+
+@dataclass
+class Model:
+    words: Table = field(default_factory=Table)
+    stems: Table = field(default_factory=Table)
     options: Options = Options()
-    curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0, -20.0)
-
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """How far the toxic log-likelihood exceeds the ordinary one over the distinct words where they differ by more than options.least_ratio; the log of the length.
-
-        The models count documents, so a word counts once however often a text repeats it.
-        """
-        found = WORD.findall((text or "").lower())
-        words, stems, n, least = self.words, self.stems, self.options.stem, self.options.least_ratio
-        best = {w: words.get(w) for w in set(found)}
-        best = {w: x for w, y in best.items() if (x := stems.get(w[:n], 0.0) if y is None else y) > least}
-        if self.pairs:
-            for pair, x in zip(zip(found, found[1:]), map(self.pairs.get, zip(found, found[1:]))):
-                if x is not None and x > best.get(pair[1], least):
-                    best[pair[1]] = x
-        return sum(best.values()) - least * len(best), math.log1p(len(found))
-
-    def compared(self, text: str | None) -> tuple[float, float]:
-        """The toxic less the ordinary log-likelihood of all words, repeated ones too, divided by their number: of the whole text, and of its most toxic window."""
-        found = WORD.findall((text or "").lower())
+    #: Weights of measures() and a constant.
+    curve: tuple[float, ...] = (0.0,) * (len(Options().tops) + 2) + (-20.0,)
+
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """The difference of both log-likelihoods for each word; of one that no text has, that of its stem, else 0."""
+        out, known = self.words.get(hashed(words))
+        if not known.all():
+            unknown = np.flatnonzero(~known)
+            ratio, has = self.stems.get(hashed([words[i][: self.options.stem] for i in unknown]))
+            out[unknown] = np.where(has, ratio, 0.0)
+        return out
+
+    def measures(self, text: str | None) -> list[float]:
+        """Mean difference of the whole text, repeated words included, and of its most toxic distinct words; log of the length."""
+        found = Counter(WORD.findall((text or "").lower()))
+        tops = self.options.tops
         if not found:
-            return 0.0, 0.0
-        stems, n = self.stems, self.options.stem
-        by_pair = chain((None,), map(self.pairs.get, zip(found, found[1:])))
-        each = [x if x is not None else y if y is not None else stems.get(w[:n], 0.0) for w, x, y in zip(found, by_pair, map(self.words.get, found), strict=True)]
-        upto, size = np.concatenate([[0.0], np.cumsum(each)]), min(self.options.window, len(each))
-        return float(upto[-1]) / len(each), float((upto[size:] - upto[:-size]).max()) / size
-
-    def measures(self, text: str | None) -> tuple[float, float, float, float]:
-        """Evidence, mean log-likelihood difference of the text and of its most toxic window, log of the length."""
-        evidence, length = self.evidence(text)
-        return evidence, *self.compared(text), length
+            return [0.0] * (len(tops) + 2)
+        each = self.ratios(list(found))
+        n = found.total()
+        upto = np.cumsum(-np.sort(-each))
+        whole = float((each * np.fromiter(found.values(), float, len(found))).sum()) / n
+        return [whole, *(float(upto[min(k, len(upto)) - 1]) / k for k in tops), math.log1p(n)]
 
     def score(self, text: str | None) -> float:
         *weights, constant = self.curve
@@ -96,86 +107,77 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, options: Options) -> DataFrame:
-    """text, toxic of the sample. Labels of crc32(doc_id as text) mod 3 = 1 are held out; of several labels of a document the highest counts."""
+    """text, toxic, fold of the sample. Labels of crc32(doc_id as text) mod 3 = 1 are held out; of several labels of a document the highest counts."""
     crc = F.crc32(F.col("doc_id").cast("string"))
     usable = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where((crc % 3 != 1) & F.col("toxic").isin(0, 1))
     sample = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.crc32(F.concat(F.lit("sample "), F.col("doc_id").cast("string"))), "doc_id").limit(options.sample)
-    return texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")  # at most options.sample rows of two numbers
+    return texts(docs).join(F.broadcast(sample), "doc_id").select("text", "toxic", (F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string"))) % options.folds).cast("int").alias("fold"))  # at most options.sample rows of two numbers
 
 
-def counts(rows: DataFrame, options: Options) -> DataFrame:
-    """level, a, b, ordinary, toxic: how many of the documents of each class have a pair, word or stem. Summed by task first."""
+def counted(rows: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """word, a0, a1, b0, b1 ...: how many distinct words it follows in ordinary and toxic texts; and stem, the same: how many texts have it.
 
-    def sent(found: Counter) -> pa.RecordBatch:
-        level, a, b, toxic = zip(*found, strict=True)
-        n = list(found.values())
-        by_class = [pa.array([x if bool(t) == c else 0 for t, x in zip(toxic, n, strict=True)], pa.int64()) for c in (False, True)]
-        return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(a), pa.array(b), *by_class], names=["level", "a", "b", "ordinary", "toxic"])
+    a: in all folds, b and so on: without one of them. A pair carries the folds that have it as bits, one number for each class. Tasks
+    gather what they send.
+    """
+
+    def sent(level: int, found: dict) -> pa.RecordBatch:
+        a, b = zip(*found, strict=True)
+        values = zip(*found.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([level] * len(a), pa.int32()), pa.array(a, pa.string()), pa.array(b, pa.string()), *(pa.array(v, pa.int64()) for v in values)], names=["level", "a", "b", "ordinary", "toxic"])
 
     def run(batches):
-        found = Counter()
+        pairs, stems = {}, {}
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
                 w = WORD.findall((text or "").lower())
-                found.update((2, a, b, toxic) for a, b in set(zip(w, w[1:])))
-                found.update((1, x, "", toxic) for x in set(w))
-                found.update((0, x, "", toxic) for x in {x[: options.stem] for x in w})
-                if len(found) > HELD:
-                    yield sent(found)
-                    found = Counter()
-        if found:
-            yield sent(found)
+                for p in set(zip(["", *w], w)):
+                    pairs.setdefault(p, [0, 0])[toxic] |= 1 << fold
+                for z in {x[: options.stem] for x in w}:
+                    stems.setdefault((z, str(fold)), [0, 0])[toxic] += 1
+                if len(pairs) + len(stems) > HELD:
+                    yield from (sent(k, x) for k, x in ((1, pairs), (0, stems)) if x)
+                    pairs, stems = {}, {}
+        yield from (sent(k, x) for k, x in ((1, pairs), (0, stems)) if x)
 
     each = rows.mapInArrow(trimmed(run), "level int, a string, b string, ordinary long, toxic long")
-    return each.groupBy("level", "a", "b").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-
-
-def ratios(found: DataFrame, options: Options) -> Model:
-    """The smoothed ratios of what at least options.least documents have. Sums are over all that was counted."""
-    found = found.cache()
-    sums = {r["level"]: r for r in found.groupBy("level").agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"), F.sum((F.col("ordinary") > 0).cast("long")).alias("t0"), F.sum((F.col("toxic") > 0).cast("long")).alias("t1"), F.count("*").alias("types")).collect()}
-    often = F.col("ordinary") + F.col("toxic")
-    model = Model(options=options)
-    if 1 not in sums or not sums[1]["n0"] or not sums[1]["n1"]:
-        found.unpersist()
+    both = each.groupBy("level", "a", "b").agg(*(F.when(F.col("level") == 1, F.bit_or(c)).otherwise(F.sum(c)).alias(c) for c in ("ordinary", "toxic"))).cache()
+    every, classes = (1 << options.folds) - 1, ("ordinary", "toxic")
+    folds = [None, *range(options.folds)]
+    has = lambda c, k: F.sum((F.col(c).bitwiseAND(F.lit(every if k is None else every & ~(1 << k))) != 0).cast("long"))
+    number = lambda c, k: F.sum(F.col(c) if k is None else F.when(F.col("b") != str(k), F.col(c)).otherwise(0))
+    words = both.where("level = 1").groupBy(F.col("b").alias("name")).agg(*(has(c, k).alias(f"{c}_{i}") for i, k in enumerate(folds) for c in classes))
+    stems = both.where("level = 0").groupBy(F.col("a").alias("name")).agg(*(number(c, k).alias(f"{c}_{i}") for i, k in enumerate(folds) for c in classes))
+    return words, stems
+
+
+def compared(words: list[str], counts: np.ndarray, stems: list[str], texts_with: np.ndarray, options: Options) -> Model:
+    """The model of words and stems with their counts in ordinary and toxic texts, arrays of two columns; empty if a class has none."""
+    there, model = counts.sum(axis=1) > 0, Model(options=options)
+    place = {z: i for i, z in enumerate(stems)}
+    names = [w for w, x in zip(words, there.tolist(), strict=True) if x]
+    stem = np.array([place[w[: options.stem]] for w in names], np.int64)
+    share = np.bincount(stem, minlength=len(stems)).astype(float) if len(stem) else np.zeros(len(stems))
+    own, lower = np.maximum(counts[there] - options.discount, 0), np.maximum(texts_with - options.discount, 0)
+    if not len(names) or not own.sum(axis=0).all() or not lower.sum(axis=0).all():
         return model
-
-    def entries(level: int) -> list:
-        return found.where((F.col("level") == level) & (often >= options.least)).orderBy(often.desc(), "a", "b").limit(options.entries).collect()
-
-    kinds = found.where("level = 1").groupBy(F.substring("a", 1, options.stem).alias("stem")).agg(F.count("*").alias("n"))
-    kept_stems = entries(0)
-    in_stem = {r["stem"]: r["n"] for r in kinds.join(F.broadcast(found.where((F.col("level") == 0) & (often >= options.least)).orderBy(often.desc(), "a", "b").limit(options.entries).select(F.col("a").alias("stem"))), "stem").collect()}
-    d = options.discount
-
-    def level(r, s, below: tuple[float, float]) -> tuple[float, float]:
-        return tuple((max(c - d, 0) + d * t * p) / n for c, n, t, p in ((r["ordinary"], s["n0"], s["t0"], below[0]), (r["toxic"], s["n1"], s["t1"], below[1])))
-
-    s0, s1 = sums[0], sums[1]
-    unseen = tuple(d * t / n / s0["types"] for n, t in ((s0["n0"], s0["t0"]), (s0["n1"], s0["t1"])))
-    stems = {r["a"]: level(r, s0, (1 / s0["types"],) * 2) for r in kept_stems}
-
-    def stem_of(w: str) -> tuple[float, float]:
-        # how a stem's probability falls to its words is shared; the word level's sums are larger than the stem level's
-        p, n = stems.get(w[: options.stem], unseen), in_stem.get(w[: options.stem], 1)
-        return p[0] / n, p[1] / n
-
-    words, seen = {}, {}
-    for r in entries(1):
-        words[r["a"]] = level(r, s1, stem_of(r["a"]))
-        seen[r["a"]] = r
-    followers = {r["a"]: r for r in found.where((F.col("level") == 2)).groupBy("a").agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"), F.sum((F.col("ordinary") > 0).cast("long")).alias("t0"), F.sum((F.col("toxic") > 0).cast("long")).alias("t1"), F.max(often).alias("most")).where(F.col("most") >= options.least).orderBy(F.col("most").desc(), "a").limit(options.entries).collect()}
-    log = lambda p: math.log(p[1] / p[0])
-    model.stems = {k: log(p) for k, p in stems.items()}
-    model.words = {k: log(p) for k, p in words.items()}
-    for r in entries(2):
-        s = followers.get(r["a"])
-        if s is not None and r["b"] in words and s["n0"] and s["n1"]:
-            model.pairs[r["a"], r["b"]] = log(level(r, s, words[r["b"]]))
-    found.unpersist()
+    rest = options.backoff
+    by_stem = (1 - rest) * lower / lower.sum(axis=0) + rest * (share / share.sum())[:, None]
+    by_word = (1 - rest) * own / own.sum(axis=0) + rest * by_stem[stem] / share[stem][:, None]
+    used = share > 0
+    model.words = Table.of(names, np.log(by_word[:, 1] / by_word[:, 0]))
+    model.stems = Table.of([z for z, x in zip(stems, used.tolist(), strict=True) if x], np.log(by_stem[used, 1] / by_stem[used, 0]))
     return model
 
 
+def models(rows: DataFrame, options: Options) -> list[Model]:
+    """The model of all rows, and for each fold that of the others. What reaches the driver are the sample's distinct words, with two counts for each model."""
+    tables = [df.toArrow() for df in counted(rows, options)]
+    names = [t["name"].to_pylist() for t in tables]
+    of = lambda t, i: np.stack([t[f"{c}_{i}"].to_numpy() for c in ("ordinary", "toxic")], axis=1).astype(float)
+    return [compared(names[0], of(tables[0], i), names[1], of(tables[1], i), options) for i in range(options.folds + 1)]
+
+
 def solved(m: list[list[float]], y: list[float]) -> list[float]:
     """A small system of linear equations, by elimination."""
     rows = [[*r, v] for r, v in zip(m, y, strict=True)]
@@ -213,45 +215,43 @@ def fitted(x: np.ndarray, y: np.ndarray, rising: int) -> tuple[float, ...]:
         del used[worst]
 
 
-def measured(rows: DataFrame, model: Model) -> list[tuple[tuple[float, ...], int]]:
-    """What the model measures of each of at most options.sample rows, and their labels."""
+def measured(rows: DataFrame, by_fold: list[Model]) -> list[tuple[list[float], int]]:
+    """What its fold's model measures of each of at most options.sample rows, and their labels."""
+    held = rows.sparkSession.sparkContext.broadcast(by_fold)  # bounded as models() says
 
     def run(batches):
         for batch in batches:
-            x = [model.measures(t) for t in batch.column("text").to_pylist()]
+            x = [held.value[k].measures(t) for t, k in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "y"])
 
-    return [(tuple(r["x"]), r["y"]) for r in rows.mapInArrow(trimmed(run), "x array<double>, y int").collect()]
+    out = [(r["x"], r["y"]) for r in rows.mapInArrow(trimmed(run), "x array<double>, y int").collect()]
+    held.unpersist()
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> Model:
-    """The model of the labelled sample; without rows of both classes every score is near 0. Its size is bounded by options.entries.
+    """The model of the labelled sample; without rows of both classes every score is near 0. Its size is that of the sample's vocabulary.
 
     The curve is fitted on what models of the other folds measure, as rows look further apart to a model that has learnt from them. If
     a fold leaves no rows of both classes, all are measured by the model itself.
     """
     rows = training_rows(docs, labels, options).cache()
-    model = ratios(counts(rows, options), options)
-    if model.words:
-        fold, known = F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string"))) % options.folds, []
-        for k in range(options.folds):
-            other = ratios(counts(rows.where(fold != k), options), options)
-            if not other.words:
-                known = []
-                break
-            known += measured(rows.where(fold == k), other)
-        known = known or measured(rows, model)
-        model.curve = fitted(np.array([x for x, _ in known]), np.array([y for _, y in known], float), 3)
+    model, *others = models(rows, options)
+    if len(model.words.keys):
+        known = sorted(measured(rows, others if all(len(m.words.keys) for m in others) else [model] * options.folds))
+        model.curve = fitted(np.array([x for x, _ in known]), np.array([y for _, y in known], float), 1 + len(options.tops))
     rows.unpersist()
     return model
 
 
 def scores(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; a null or empty text scores as one without any toxic word, repeated rows repeat.
+    """doc_id, held_out, score, predicted for every row.
 
-    Only the text is an input of a score. held_out is null where doc_id is. The whole text is read, however long.
+    Only the text is an input of a score: equal texts have equal scores, and other columns, whatever their names, are not read. A null or
+    empty text scores as one without any word; repeated rows repeat; held_out is null where doc_id is; a score of exactly the threshold
+    counts as toxic; an empty table gives no rows. The whole text is read, however long.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, options))  # at most 3 * options.entries ratios
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, options))  # bounded by the sample's vocabulary
 
     def rows(text):
         s = model.value.score(text)
@@ -263,8 +263,11 @@ def scores(docs: DataFrame, labels: DataFrame, options: Options = Options(), id_
 
 
 def harmless(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
-    """The rows of docs, with all columns, whose text scores below the threshold. One pass, no shuffle; rows with a null text stay."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, options))  # at most 3 * options.entries ratios
+    """The rows of docs, with all columns, whose text scores below the threshold. One pass, no shuffle.
+
+    Rows with a null or empty text stay, repeated rows stay or go together, and columns of any name pass through. No rows give none.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, options))  # bounded by the sample's vocabulary
 
     def run(batches):
         for batch in batches:
