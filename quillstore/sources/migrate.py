@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,4 +21,5 @@ def write_legacy(log, records: list[tuple[bytes, bytes, bytes]]) -> None:
 
     df = log.spark.createDataFrame([(c, k, v, i + 1, 0, 0, i) for i, (c, k, v) in enumerate(records)], LEGACY_OBJECTS)
     log.make()
-    log.commit(Manifest(version=1, segments=[{"kind": "legacy", "path": log.write("legacy", df, 16), "unique": False}]))
+    written = log.write("legacy", df, 16, f"legacy/{uuid.uuid4().hex}")
+    log.commit(Manifest(version=1, segments=[{"kind": "legacy", "path": written["path"], "unique": False}]))
