@@ -167,15 +167,15 @@ def row_mixed_fold(spark, sf):
     return plain(rows.live_rows(mutations(spark, sf), "commit"))
 
 
-@query("select conv_id as row_id, cast(turn as varchar) as key_text, text as value_text from conversations where conv_id = 3 and turn = 1")
+@query(FOLD_SQL + f"select {ENTRY_SQL} from f where event_type = 'click' and user_id = 8 and k = 1")
 def get_row_struct_point(spark, sf):
-    log = talks(spark, sf).where((F.col("row_id") == 3) & (F.col("key") == F.lit(b"1")))
-    return log.select("row_id", shown("key").alias("key_text"), shown("value").alias("value_text"))
+    row = mutations(spark, sf).where((F.col("column") == F.lit(b"click")) & (F.col("row_id") == 8))
+    return plain(rows.live_rows(row, "commit").where(F.col("key") == F.lit(b"1")))
 
 
-@query("select cast(turn as varchar) as key_text, text as value_text from conversations where conv_id = 3")
+@query(FOLD_SQL + f"select {ENTRY_SQL} from f where event_type = 'click' and user_id = 8")
 def row_entries(spark, sf):
-    return talks(spark, sf).where(F.col("row_id") == 3).select(shown("key").alias("key_text"), shown("value").alias("value_text"))
+    return plain(rows.live_rows(mutations(spark, sf).where((F.col("column") == F.lit(b"click")) & (F.col("row_id") == 8)), "commit"))
 
 
 @query("select conv_id as row_id, string_agg(cast(turn as varchar) || '=' || cast(octet_length(encode(text)) as varchar), ';' order by cast(turn as varchar)) as entries from conversations group by 1")
@@ -228,13 +228,16 @@ def dump_rows(spark, sf):
 
 
 TITLES = {"title": "column dump", "objects": "object_index:", "rows": "row_index:"}
+CLICKS = "f where event_type = 'click'"
 
 
-@query(f"""select {OBJECT_LINE} as line from ({LIVE}) where event_type = 'click' union all
+@query(FOLD_SQL + f"""select {OBJECT_LINE} as line from ({LIVE}) where event_type = 'click' union all
 select * from (values ('column dump'), ('object_index:'), ('objects:'), ('row_index:'), ('rows:'), ('column_statistics:'))
-union all select '  column="click" objects=' || count(*) || ' rows=0' from ({LIVE}) where event_type = 'click'""")
+union all select '  row column="click" row_id=' || user_id || ' object_count=' || count(*) from {CLICKS} group by user_id
+union all select '    key="' || k || '" value_size=' || strlen(props) || ' value_hex=0x' || lower(hex(encode(props))) from {CLICKS}
+union all select '  column="click" objects=' || (select count(*) from ({LIVE}) where event_type = 'click') + (select count(*) from {CLICKS}) || ' rows=' || (select count(distinct user_id) from {CLICKS})""")
 def dump_column(spark, sf):
-    return dump.dump(objects.latest_objects(events(spark, sf)), mutations(spark, sf).limit(0), TITLES, b"click")
+    return dump.dump(objects.latest_objects(events(spark, sf)), rows.live_rows(mutations(spark, sf), "commit"), TITLES, b"click")
 
 
 def json_number(column: bytes, row_id: int | None, key: bytes, value: bytes) -> str:

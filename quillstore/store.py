@@ -212,6 +212,11 @@ class Store:
                 self._objects += [(column, k, v, seq + i) for i, (k, v) in enumerate(batch)]
                 self._held()
 
+    def put_objects(self, objects: DataFrame) -> None:
+        """Many objects (column, key, value, ordinal) of any columns in one commit, written by the executors."""
+        self._need_writer()
+        self._bulk("objects", objects)
+
     def put_unique_structs(self, column, entries: Entries, validate: bool = False) -> None:
         """A batch of keys that are new. Unless validated, a key that isn't counts as an upsert. A validated batch is a commit of its own, and is looked up once more in what other writers have committed meanwhile."""
         self._need_writer()

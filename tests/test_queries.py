@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from quillstore.plans import queries
+from quillstore.plans import store_queries as _  # registers its own
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
