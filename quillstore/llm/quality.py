@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import attached
+from .text import attached, fresh
 from .text import kept as written
 
 SYMBOLS = "#*$%&|<>"
@@ -23,14 +23,23 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rules:
-    """Fixed limits of the base rules; fences lie `reach` times the quartiles' distance, but at least the ratio's own margin, above the third quartile."""
+    """Fixed limits of the base rules, and how far above its group's third quartile a document's ratio may lie.
+
+    That is the largest of: `reach` times the quartiles' distance; for each ratio, so many times the distance from the third quartile to a
+    high quantile (in hundredths) of the group; and a least margin (in thousandths), as most groups have none of a ratio. The high quantile
+    is such that what a clean corpus has in its tail, repeated lines say, widens the fence, and what is rarer than the tail doesn't.
+    """
 
     min_words: int = 10
     max_repeat_percent: int = 20
     reach: int = 3
     min_rows: int = 50
-    #: Thousandths that a clean text may exceed the third quartile of its group, by ratio; word length counts in hundredths of a letter.
-    margins: tuple[tuple[str, int], ...] = (("symbol", 60), ("dup_line", 500), ("repeat", 200), ("length", 400))
+    #: Ratio, high quantile, times, least margin; word length counts in hundredths of a letter.
+    margins: tuple[tuple[str, int, int, int], ...] = (("symbol", 80, 3, 30), ("dup_line", 99, 2, 50), ("repeat", 99, 2, 20), ("length", 90, 4, 100))
+
+    @property
+    def ratios(self) -> list[str]:
+        return [m[0] for m in self.margins]
 
 
 def bind(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -104,7 +113,7 @@ def _ratios(rules: Rules) -> Column:
         "repeat": F.expr("1000 * n_repeat_words div greatest(n_words, 1)"),
         "length": F.expr("least(100 * word_chars div greatest(n_words, 1), 10000L)"),
     }
-    return F.array(*(F.struct(F.lit(name).alias("ratio"), share[name].alias("bucket")) for name, _ in rules.margins))
+    return F.array(*(F.struct(F.lit(name).alias("ratio"), share[name].alias("bucket")) for name in rules.ratios))
 
 
 def sketches(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -115,20 +124,20 @@ def sketches(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def fences(sketch: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """lang, source and one fence for each ratio, by the most particular sketch that has min_rows documents."""
-    margin = F.create_map(*(F.lit(x) for pair in rules.margins for x in pair))
+    of = lambda k: F.create_map(*(F.lit(x) for m in rules.margins for x in (m[0], m[k])))[F.col("ratio")].cast("long")
 
     def level(*keys: str) -> DataFrame:
         merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
         below = F.expr(f"sum(n) over (partition by {', '.join([*keys, 'ratio'])} order by bucket)")
         total = F.expr(f"sum(n) over (partition by {', '.join([*keys, 'ratio'])})")
         ranked = merged.select(*keys, "ratio", "bucket", below.alias("upto"), total.alias("total"))
-        quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket")))
-        each = ranked.groupBy(*keys, "ratio").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("rows"))
-        fence = F.col("q3") + F.greatest(rules.reach * (F.col("q3") - F.col("q1")), margin[F.col("ratio")].cast("long"))
-        wide = each.groupBy(*keys).agg(F.max("rows").alias("rows"), *(F.max(F.when(F.col("ratio") == name, fence)).alias(name) for name, _ in rules.margins))
+        quantile = lambda hundredths: F.min(F.when(100 * F.col("upto") >= hundredths * F.col("total"), F.col("bucket")))
+        each = ranked.groupBy(*keys, "ratio").agg(quantile(F.lit(25)).alias("q1"), quantile(F.lit(75)).alias("q3"), quantile(of(1)).alias("high"), F.max("total").alias("rows"))
+        fence = F.col("q3") + F.greatest(rules.reach * (F.col("q3") - F.col("q1")), of(2) * (F.col("high") - F.col("q3")), of(3))
+        wide = each.groupBy(*keys).agg(F.max("rows").alias("rows"), *(F.max(F.when(F.col("ratio") == name, fence)).alias(name) for name in rules.ratios))
         return wide
 
-    names = [name for name, _ in rules.margins]
+    names = rules.ratios
     own = level("lang", "source").alias("o")
     lang = level("lang").withColumnsRenamed({n: f"{n}_l" for n in [*names, "rows"]}).withColumnRenamed("lang", "lang_l").alias("l")
     every = level().withColumnsRenamed({n: f"{n}_a" for n in names}).drop("rows").withColumn("all_a", F.lit(1))
@@ -140,9 +149,9 @@ def fences(sketch: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def judged(docs: DataFrame, rules: Rules = Rules(), **columns: str) -> DataFrame:
     """verdicts() and each row's key."""
     found = written(features(docs, **columns))
-    limits = fences(sketches(found, rules), rules).withColumnsRenamed({"lang": "g_lang", "source": "g_source"} | {n: f"max_{n}" for n, _ in rules.margins})
+    limits = fences(sketches(found, rules), rules).withColumnsRenamed({"lang": "g_lang", "source": "g_source"} | {n: f"max_{n}" for n in rules.ratios})
     joined = found.join(limits, found["lang"].eqNullSafe(F.col("g_lang")) & found["source"].eqNullSafe(F.col("g_source")), "left")
-    within = F.forall(F.arrays_zip(_ratios(rules).alias("r"), F.array(*(F.col(f"max_{n}") for n, _ in rules.margins)).alias("m")), lambda x: x["r"]["bucket"] <= x["m"])
+    within = F.forall(F.arrays_zip(_ratios(rules).alias("r"), F.array(*(F.col(f"max_{n}") for n in rules.ratios)).alias("m")), lambda x: x["r"]["bucket"] <= x["m"])
     failed = _base_failed(rules)
     return joined.select("key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(False))).alias("kept"))
 
@@ -150,17 +159,21 @@ def judged(docs: DataFrame, rules: Rules = Rules(), **columns: str) -> DataFrame
 def verdicts(docs: DataFrame, rules: Rules = Rules(), **columns: str) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row; repeated rows repeat, null doc_id, lang and source are values of their own.
 
-    Empty tables give empty results; texts without words fail the base rules. The counts are written once, as both the sketches and the
+    Empty tables give empty results; texts of any length are read whole; other columns don't matter; texts without words fail the base rules. The counts are written once, as both the sketches and the
     join read them. The join is by (lang, source): one side has a row for each group, and Spark broadcasts it only if it is small.
     """
     return judged(docs, rules, **columns).drop("key")
 
 
 def good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs, with all columns, that verdicts() keeps. Only the keys of rejected rows are joined."""
-    bad = written(judged(docs, rules).where(~F.col("kept")).select(F.col("key").alias("bad_key"), F.coalesce("doc_id", F.lit(-1)).alias("bad_id")).distinct())
-    keyed = docs.withColumns({"bad_key": F.xxhash64(docs["doc_id"].cast("long"), docs["lang"], docs["source"], docs["text"]), "bad_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(-1))})
-    return attached(keyed, bad, ["bad_key", "bad_id"], "left_anti").drop("bad_key", "bad_id")
+    """The rows of docs, with all columns whatever their names, that verdicts() keeps. Only the keys of rejected rows are joined.
+
+    Null and empty texts go, as they fail the base rules; equal rows stay or go together; no rows give none.
+    """
+    key, id_ = fresh(docs, "bad_key"), fresh(docs, "bad_id")
+    bad = written(judged(docs, rules).where(~F.col("kept")).select(F.col("key").alias(key), F.coalesce("doc_id", F.lit(-1)).alias(id_)).distinct())
+    keyed = docs.withColumns({key: F.xxhash64(docs["doc_id"].cast("long"), docs["lang"], docs["source"], docs["text"]), id_: F.coalesce(docs["doc_id"].cast("long"), F.lit(-1))})
+    return attached(keyed, bad, [key, id_], "left_anti").drop(key, id_)
 
 
 #: The rows of verdicts() with default rules over documents.
@@ -180,13 +193,16 @@ f as (select w.doc_id, lang, source, cast(len(words) as bigint) as n_words,
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from f),
 r as (select *, 1000 * n_symbols // greatest(word_chars, 1) as symbol, 1000 * n_dup_lines // greatest(n_lines, 1) as dup_line,
   1000 * n_repeat_words // greatest(n_words, 1) as repeat, least(100 * word_chars // greatest(n_words, 1), 10000) as length from b),
-x as (select lang, source, 'symbol' as ratio, 60 as margin, symbol as bucket from r where not base_failed union all
-  select lang, source, 'dup_line', 500, dup_line from r where not base_failed union all
-  select lang, source, 'repeat', 200, repeat from r where not base_failed union all
-  select lang, source, 'length', 400, length from r where not base_failed),
+x as (select lang, source, 'symbol' as ratio, 80 as high, 3 as times, 30 as margin, symbol as bucket from r where not base_failed union all
+  select lang, source, 'dup_line', 99, 2, 50, dup_line from r where not base_failed union all
+  select lang, source, 'repeat', 99, 2, 20, repeat from r where not base_failed union all
+  select lang, source, 'length', 90, 4, 100, length from r where not base_failed),
 l as (select 2 as level, lang, source, * exclude (lang, source) from x union all select 1, lang, null, * exclude (lang, source) from x union all select 0, null, null, * exclude (lang, source) from x),
-q as (select level, lang, source, ratio, margin, count(*) as n, quantile_disc(bucket, 0.25) as q1, quantile_disc(bucket, 0.75) as q3 from l group by all),
-t as (select *, q3 + greatest(3 * (q3 - q1), margin) as fence from q),
+h as (select level, lang, source, ratio, high, times, margin, bucket, count(*) as n from l group by all),
+u as (select *, sum(n) over (partition by level, lang, source, ratio order by bucket) as upto, sum(n) over (partition by level, lang, source, ratio) as total from h),
+q as (select level, lang, source, ratio, times, margin, max(total) as n, min(case when 100 * upto >= 25 * total then bucket end) as q1,
+  min(case when 100 * upto >= 75 * total then bucket end) as q3, min(case when 100 * upto >= high * total then bucket end) as qh from u group by all),
+t as (select *, q3 + greatest(3 * (q3 - q1), times * (qh - q3), margin) as fence from q),
 p as (select o.lang, o.source, o.ratio, case when o.n >= 50 then o.fence when g.n >= 50 then g.fence else a.fence end as fence
   from t o join t g on g.level = 1 and g.lang is not distinct from o.lang and g.ratio = o.ratio join t a on a.level = 0 and a.ratio = o.ratio where o.level = 2),
 m as (select lang, source, max(case when ratio = 'symbol' then fence end) as symbol, max(case when ratio = 'dup_line' then fence end) as dup_line,

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import hashes
 from .hashes import ANSWERS, Deal, Entries, Gathered
-from .text import attached, kept, spread, texts, trimmed, words
+from .text import attached, fresh, kept, spread, texts, trimmed, words
 
 WINDOW = 50
 
@@ -293,20 +293,24 @@ def kept_texts(docs: DataFrame, window: int = WINDOW, digest: bool = False, id_c
 
 
 def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs with all columns: where words go, text is what stays and n_chars its length; other texts don't change."""
+    """The rows of docs with all columns, whatever their names: where words go, text is what stays and n_chars its length; other texts don't change.
+
+    Null and empty texts stay as they are, and so do rows of a null doc_id; repeated rows lose the same words; no rows give none.
+    """
     own = texts(docs).withColumn("key", F.xxhash64("text"))
-    keyed = docs.withColumn("key", F.xxhash64(docs["text"].cast("string")))
-    names = docs.columns
+    names, doc_id, key, ranges_, copy = docs.columns, *(fresh(docs, x) for x in ("own_id", "own_key", "own_ranges", "own_copy"))
+    keyed = docs.withColumns({doc_id: docs["doc_id"].cast("long"), key: F.xxhash64(docs["text"].cast("string"))})
+    found = repeats(own, window).withColumnsRenamed({"doc_id": doc_id, "key": key, "ranges": ranges_, "copy": copy})
 
     def run(batches):
         for batch in batches:
             new, changed = [], []
-            for text, spans, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "ranges", "copy")), strict=True):
-                changed.append(bool(copy or spans))
-                new.append(b" ".join(without(words(text), spans, copy, window)).decode("utf-8", "surrogatepass") if changed[-1] else text)
+            for text, spans, whole in zip(*(batch.column(c).to_pylist() for c in ("text", ranges_, copy)), strict=True):
+                changed.append(bool(whole or spans))
+                new.append(b" ".join(without(words(text), spans, whole, window)).decode("utf-8", "surrogatepass") if changed[-1] else text)
             made = {"text": pa.array(new, pa.string())}
             if "n_chars" in names:
                 made["n_chars"] = pa.array([len(t) if x else n for t, x, n in zip(new, changed, batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in names], names=names)
 
-    return attached(keyed, repeats(own, window), ["doc_id", "key"], "left").mapInArrow(trimmed(run), docs.schema)
+    return attached(keyed, found, [doc_id, key], "left").mapInArrow(trimmed(run), docs.schema)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import ctypes
 import re
 import threading
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_scratch, scratch
+
 #: The characters of Unicode's White_Space property.
 WHITE = "\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space and the run of other characters after it. What a tokenizer of words does never crosses the end of such a match.
@@ -30,6 +31,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_ROWS rows from now on, unless the session has fewer."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -158,22 +167,6 @@ def per_text(schema: str, rows: Callable[[str | None], tuple], names: list[str],
     return trimmed(run, keeps)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder's path in the folder that driver and executors share: spark.checkpoint.dir, which this sets only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isEmpty():
-            import tempfile
-
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
-            kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = kept.get()
-    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
 def kept(df: DataFrame) -> DataFrame:
     """Writes df once to a table in the shared folder and reads it from there: lineage ends, lost executors cost nothing."""
     path = scratch(df.sparkSession)
@@ -197,22 +190,9 @@ def attached(docs: DataFrame, table: DataFrame, on: str, how: str = "left") -> D
     return docs.join(F.broadcast(table) if size <= SMALL else table, on, how)
 
 
-def drop_scratch(spark: SparkSession, older_than_s: float = 86_400) -> int:
-    """Deletes the scratch tables in the shared folder that are older than this; the number deleted."""
-    jvm = spark._jvm
-    root = scratch(spark).rpartition("/")[0]
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    now, n = jvm.System.currentTimeMillis(), 0
-    for x in fs.listStatus(path) if fs.exists(path) else []:
-        if x.getPath().getName().startswith("scratch-") and now - x.getModificationTime() > older_than_s * 1000:
-            n += bool(fs.delete(x.getPath(), True))
-    return n
-
-
 def spread(spark: SparkSession, rows: int, per_task: int) -> int:
     """A number of partitions by the amount of data, never under the session's own."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
-__all__ = ["DOCUMENT_COLUMNS", "F", "Memo", "RUN", "SEGMENT", "at_hand", "attached", "bounded", "drop_scratch", "kept", "per_text", "scratch", "slices", "spread", "texts", "trimmed", "words"]
+__all__ = ["DOCUMENT_COLUMNS", "F", "Memo", "RUN", "SEGMENT", "at_hand", "attached", "bounded", "drop_scratch", "fresh", "kept", "per_text", "scratch", "slices", "spread", "texts", "trimmed", "words"]
