@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstore.llm import jaccard_join, packing, quality, substring_dedup, toxicity
 from quillstore.llm.queries import BYTE_BPE, table
-from quillstore.llm.text import kept
+from quillstore.llm.text import drop_scratch, kept
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on documents. Scratch tables that earlier jobs left more than a day ago are deleted first."""
+    drop_scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir))
