@@ -167,10 +167,10 @@ def row_mixed_fold(spark, sf):
     return plain(rows.live_rows(mutations(spark, sf), "commit"))
 
 
-@query(FOLD_SQL + f"select {ENTRY_SQL} from f where event_type = 'click' and user_id = 8 and k = 1")
+@query(FOLD_SQL + f"select {ENTRY_SQL} from f where event_type = 'click' and user_id = 8 and k = 0")
 def get_row_struct_point(spark, sf):
     row = mutations(spark, sf).where((F.col("column") == F.lit(b"click")) & (F.col("row_id") == 8))
-    return plain(rows.live_rows(row, "commit").where(F.col("key") == F.lit(b"1")))
+    return plain(rows.live_rows(row, "commit").where(F.col("key") == F.lit(b"0")))
 
 
 @query(FOLD_SQL + f"select {ENTRY_SQL} from f where event_type = 'click' and user_id = 8")
