@@ -35,7 +35,7 @@ class Rules:
     reach: int = 3
     min_rows: int = 50
     #: Ratio, high quantile, times, least margin; word length counts in hundredths of a letter.
-    margins: tuple[tuple[str, int, int, int], ...] = (("symbol", 80, 3, 30), ("dup_line", 99, 2, 50), ("repeat", 99, 2, 20), ("length", 90, 4, 100))
+    margins: tuple[tuple[str, int, int, int], ...] = (("symbol", 75, 3, 30), ("dup_line", 99, 2, 50), ("repeat", 99, 2, 20), ("length", 90, 4, 100))
 
     @property
     def ratios(self) -> list[str]:
@@ -193,7 +193,7 @@ f as (select w.doc_id, lang, source, cast(len(words) as bigint) as n_words,
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from f),
 r as (select *, 1000 * n_symbols // greatest(word_chars, 1) as symbol, 1000 * n_dup_lines // greatest(n_lines, 1) as dup_line,
   1000 * n_repeat_words // greatest(n_words, 1) as repeat, least(100 * word_chars // greatest(n_words, 1), 10000) as length from b),
-x as (select lang, source, 'symbol' as ratio, 80 as high, 3 as times, 30 as margin, symbol as bucket from r where not base_failed union all
+x as (select lang, source, 'symbol' as ratio, 75 as high, 3 as times, 30 as margin, symbol as bucket from r where not base_failed union all
   select lang, source, 'dup_line', 99, 2, 50, dup_line from r where not base_failed union all
   select lang, source, 'repeat', 99, 2, 20, repeat from r where not base_failed union all
   select lang, source, 'length', 90, 4, 100, length from r where not base_failed),
