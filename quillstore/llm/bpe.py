@@ -213,6 +213,8 @@ def _bytes() -> dict[str, int]:
 
 BYTE_OF = _bytes()
 SHOWN = {b: c for c, b in BYTE_OF.items()}
+
+
 def codec(path: str) -> Codec:
     """One for each Python worker and file."""
     return at_hand("tokens", path, Codec)

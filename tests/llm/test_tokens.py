@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -42,6 +43,27 @@ def test_counts_by_any_chunk():
                 assert own.total(x, chunk) == n, (chunk, x)
 
 
+def test_unbroken_texts_by_any_chunk():
+    """Runs of one class longer than any chunk, class changes, contractions and special strings at the edges of chunks."""
+    library, own, rng = Tokenizer.from_file(BYTE), token_count.counter(BYTE), random.Random(11)
+    parts = ["a" * 90, "abcxyz" * 30, "漢字仮名" * 40, "1234567890" * 12, "'" * 200, "'s", "'re", "'", " " * 100, "\n" * 80, "\t \n", "!?=-" * 30, "x1", "<|endoftext|>", "<|endof", "é" * 70, " ", "'ll" * 30, "\x1c", "_" * 70]
+    for _ in range(120):
+        x = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        n = len(library.encode(x, add_special_tokens=False).ids)
+        for chunk in (3, 17, 100, 1 << 16):
+            assert own.total(x, chunk) == n, (chunk, x)
+
+
+def test_unbroken_text_takes_memory_of_its_size():
+    own, x = token_count.counter(BYTE), "".join(random.Random(2).choices("abcdefgh", k=1 << 20))
+    own.total(x[: 1 << 17])
+    tracemalloc.start()
+    n = own.total(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(Tokenizer.from_file(BYTE).encode(x, add_special_tokens=False).ids) and peak < 16 * len(x) + (64 << 20)
+
+
 def test_full_table_starts_anew():
     small = token_count.Transducer(bpe.codec(BYTE), limit=5)
     whole = token_count.Transducer(bpe.codec(BYTE))
