@@ -2,7 +2,7 @@
 
 Every mention of licensing in a text is a candidate. For each template, the block of words around it is placed by the places where the
 template itself mentions licensing, and by the starts of the line and the sentence. Where enough of the template's words stand in the
-block in order, the block is compressed alone and with the template as a raw zstandard dictionary; the template that saves the largest
+block in order, and no name, number or denial is among the differing words, the block is compressed alone and with the template as a raw zstandard dictionary; the template that saves the largest
 share of bytes wins. The scan goes on after the winner's last word, in the same line too.
 """
 
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import texts
+from .text import texts, trimmed
 
 #: Words that make a place a candidate.
 MENTION = re.compile(r"licen[cs]e|copyright|warrant|public\s+domain|redistribut|permission\s+is\s+hereby|spdx|all\s+rights\s+reserved", re.IGNORECASE)
@@ -28,17 +28,40 @@ MENTION = re.compile(r"licen[cs]e|copyright|warrant|public\s+domain|redistribut|
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This work is licensed under the Mozilla Public License, version 2.0."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
 )
+#: Words that tell one license from another, besides numbers. None of them may be missing from a notice or be one word too many.
+NAMES = frozenset("affero lesser library gnu general mozilla apache mit isc bsd cc cc0 by by-sa by-nc by-nd by-nc-sa by-nc-nd attribution attribution-sharealike attribution-noncommercial attribution-noderivatives unlicense unencumbered 2-clause 3-clause".split())
+NUMBER = re.compile(r"v?\d+(\.\d+)*")
+#: Words that deny a notice, inside it or at most DENIES words before it.
+DENIALS = frozenset("not never no nor neither cannot isn't aren't wasn't without unless".split())
+DENIES = 3
 WORD = re.compile(r"\S+")
 
 
@@ -103,6 +126,11 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, list[s
     return same, used, out
 
 
+def telling(word: str) -> bool:
+    """Whether a word decides which license is meant, or whether one is."""
+    return word in NAMES or word in DENIALS or NUMBER.fullmatch(word) is not None
+
+
 def scan(text: str | None, options: Options = Options()) -> list[tuple[int, str, int, list[str]]]:
     """Start, license, saving in thousandths and differing words of each confirmed notice in a text.
 
@@ -137,6 +165,8 @@ def scan(text: str | None, options: Options = Options()) -> list[tuple[int, str,
                 same, used, differing = differences(t.words, list(words[a:b]))
                 if 100 * same < least or (a > at and after and after.start() < ends[a + used - 1]):  # the next mention finds what starts later
                     continue
+                if any(telling(w[1:]) for w in differing) or not DENIALS.isdisjoint(words[max(low, a - DENIES) : a]):
+                    continue
                 data = " ".join(text[starts[a] : ends[b - 1]].lower().split()).encode("utf-8", "surrogatepass")  # wherever lines are broken
                 before = len(alone().compress(data))
                 saving = 1000 * (before - len(t.compressor.compress(data))) // before
@@ -151,7 +181,11 @@ def scan(text: str | None, options: Options = Options()) -> list[tuple[int, str,
 
 
 def notices(docs: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and notices array<struct<start, license, saving, differing>> of every row; empty for null, empty and other texts. One pass, no shuffle."""
+    """doc_id and notices array<struct<start, license, saving, differing>> of every row; empty for null, empty and other texts. One pass, no shuffle.
+
+    Whole texts are read, however long; repeated rows repeat; of templates that save the same share the one of more words counts, then the
+    first listed; other columns aren't read; an empty table gives no rows.
+    """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("license", pa.string()), ("saving", pa.int32()), ("differing", pa.list_(pa.string()))]))
 
     def run(batches):
@@ -159,7 +193,7 @@ def notices(docs: DataFrame, options: Options = Options(), id_col: str = "doc_id
             found = [[dict(zip(("start", "license", "saving", "differing"), x, strict=True)) for x in scan(t, options)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "notices"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, notices array<struct<start: long, license: string, saving: int, differing: array<string>>>")
+    return texts(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, notices array<struct<start: long, license: string, saving: int, differing: array<string>>>")
 
 
 def digests(docs: DataFrame, options: Options = Options(), **columns: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -23,30 +24,48 @@ def brute(urls, rules, options):
     for host, path, _ in parsed:
         fit = [(len(h + p), h + p, k) for k, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         said.append(max(fit)[1:] if fit else (None, None))
-    every = {c for _, _, t in parsed for n in (1, 2, 3) for c in combinations(sorted(t), n)}
+    rows = [(t, r, k == "block") for (_, _, t), (r, k) in zip(parsed, said, strict=True) if k]
+    alike = {}
+    for token in {x for t, _, _ in rows for x in t}:
+        have = [i for i, (t, _, _) in enumerate(rows) if token in t]
+        if sum(rows[i][2] for i in have) >= options.min_count:
+            alike.setdefault(tuple(have), set()).add(token)
     good = set()
-    for c in every:
-        have = [s[1] == "block" for (_, _, t), s in zip(parsed, said, strict=True) if t.issuperset(c)]
-        if sum(have) >= options.min_support * len(urls) and sum(have) >= options.min_confidence * len(have):
-            good.add(c)
+    for n in (1, 2, 3):
+        for c in combinations(alike.values(), n):
+            c = frozenset().union(*c)
+            have = [(r, b) for t, r, b in rows if t >= c]
+            hits = [r for r, b in have if b]
+            if len(hits) >= max(1, options.min_count) and len(hits) >= options.min_confidence * len(have) and len(set(hits)) >= options.sources:
+                good.add(c)
     return [(h, p, s[0], s[1] or ("block" if any(t.issuperset(c) for c in good) else "allow")) for (h, p, t), s in zip(parsed, said, strict=True)]
 
 
 def test_against_brute_force(spark):
     urls = [f"http://{s}example.{t}/{lang}/{i % 7}" for i, (s, t, lang) in enumerate((s, t, lang) for s in ("", "www.", "m.", "bad.") for t in ("com", "net", "org") for lang in ("en", "es", "fr"))] * 3
     urls += ["http://promo.es.net/es/1"] * 30 + ["https://promo.es.net/de/2", "HTTP://PROMO.ES.net/de/é", "x", "", None, "a://", "b://H?x/y", "://c.com", "http://c.com#/en/", "http://com/", "http://É.com/en/x://y"]
+    urls += ["http://promo.es.net/fr/1"] * 3 + ["http://other.org/" + "/".join(f"s{k}" for k in range(40))] * 3
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    options = url_rules.Options(min_support=0.02)
+    options = url_rules.Options(min_count=5)
     got = sorted(url_rules.judged(pages.repartition(3), URL_RULES, options).collect())
     assert [tuple(r)[1:5] for r in got] == brute(urls, URL_RULES, options)
     assert any(r.matched and r.rule is None for r in got)
     assert url_rules.judged(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_a_crawl_trap_is_one_item(spark):
+    """Forty segments that the same URLs share would be 2 ** 40 patterns."""
+    trap = "/".join(f"s{k}" for k in range(40))
+    labels = spark.createDataFrame([(f"http://a.org/{trap}/{i}", True) for i in range(60)] + [(f"http://a.org/s0/{i}", False) for i in range(60)], "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, f"http://b.org/{trap}/7"), (2, "http://b.org/s0/s2"), (3, "http://b.org/" + "x/" * 20000)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judged(pages, [], labels=labels).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
 def test_given_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.org/casino/1"), (2, "http://b.org/news/1"), (None, None)], "page_id long, url string")
     labels = spark.createDataFrame([(f"http://{h}.org/{p}/{i}", p == "casino") for i, (h, p) in enumerate((h, p) for h in "cdef" for p in ("casino", "news"))] + [(None, None)], "url string, blocked boolean")
-    got = {r.page_id: r.verdict for r in url_rules.judged(pages, [], url_rules.Options(min_support=0.1), labels).collect()}
+    got = {r.page_id: r.verdict for r in url_rules.judged(pages, [], url_rules.Options(min_count=2), labels).collect()}
     assert got == {1: "block", 2: "allow", None: "allow"}
 
 
@@ -64,6 +83,41 @@ def test_differences_and_clean_texts():
         assert license_scan.scan(text) == []
 
 
+def test_words_that_tell_licenses_apart():
+    names = lambda text: [x[1] for x in license_scan.scan(text)]
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    assert names(gnu.format("Affero ", "3")) == ["AGPL-3.0"] and names(gnu.format("Lesser ", "2.1")) == ["LGPL-2.1"] and names(gnu.format("Lesser ", "3")) == ["LGPL-3.0"]
+    assert names(gnu.format("", "2")) == ["GPL-2.0"] and names(gnu.format("", "3")) == ["GPL-3.0"] and names(gnu.format("", "1")) == []
+    assert names(gnu.format("", "3").replace("is licensed", "is not licensed")) == [] and names("It is not licensed under the Apache License, Version 2.0.") == []
+    assert names("Licensed under the Apache License, Version 1.1.") == [] and names("Licensed under CC BY 3.0.") == []
+    assert names("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.") == ["MPL-2.0"]
+    program = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    assert names(program.format("Affero General", "3")) == ["AGPL-3.0"] and names(program.format("Lesser General", "3")) == ["LGPL-3.0"] and names(program.format("General", "2")) == ["GPL-2.0"]
+    assert names("word " * 20 + "Released under the MIT License.") == ["MIT"] and names("word " * 130 + "Released under the MIT License.") == ["MIT"]
+
+
+def test_against_a_plain_matcher():
+    """Wordings without a change, planted anywhere among other words, are found where a search for their words finds them, and no others."""
+    rng, every = random.Random(4), license_scan.TEMPLATES
+    plain = [(name, license_scan.plain(text)) for name, text in every]
+    for _ in range(40):
+        words = [f"w{rng.randrange(99)}" for _ in range(30)]
+        for name, text in rng.sample(every, rng.randrange(0, 4)):
+            at = rng.choice([0, len(words), 7])
+            words[at:at] = ["end.", *text.split(), "then", "more"]
+        shown = " ".join(words)
+        found, at = [], 0
+        clean = license_scan.plain(shown)
+        while at < len(clean):
+            here = [(len(t), name) for name, t in plain if clean[at : at + len(t)] == t]
+            if here:
+                found.append(max(here)[1])
+                at += max(here)[0]
+            else:
+                at += 1
+        assert [x[1] for x in license_scan.scan(shown)] == found
+
+
 def test_every_mention_is_a_candidate():
     """Words before a notice, several notices in a line, texts without line breaks, notices over line breaks."""
     names = lambda text: [x[1] for x in license_scan.scan(text)]
