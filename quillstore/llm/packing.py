@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .text import WHITE, at_hand, kept, slices, texts, trimmed
 
 SIZE = 1024
+#: How near to the least possible number of shared sequences the linear program's solution is.
+GAP = 0.0005
 #: Longer texts are tokenized in parts of about so many characters.
 GROUP = 1 << 20
 
@@ -176,11 +178,12 @@ def first_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> list[tupl
     return out
 
 
-def relaxed(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int) -> list[tuple[np.ndarray, float]]:
-    """The linear program's patterns and how often each is used, by the revised simplex method; at most `rounds` priced columns.
+def relaxed(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float) -> list[tuple[np.ndarray, float]]:
+    """The linear program's patterns and how often each is used, by the revised simplex method, proven to be within `gap` of the least possible.
 
-    Every solution on the way covers the demand, so a bound on the rounds costs padding at most. Sums of products, not matrix calls: the
-    latter can hang in a driver that has forked.
+    No solution can need less than the tokens take, nor less than the duals' worth of the demand over the best pattern's worth. Columns are
+    priced until one of both bounds is that near, or none prices in. Sums of products, not matrix calls: the latter can hang in a driver
+    that has forked.
     """
     m = len(lengths)
     inverse, basis, use = np.eye(m), [np.zeros(m)] * m, np.zeros(m)
@@ -193,8 +196,11 @@ def relaxed(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int) ->
     for out, column, often in reversed(first_basis(lengths, demand, size)):
         enter(column, (inverse * column).sum(axis=1), out)
         use[out] = often
-    for _ in range(rounds):
-        value, column = price(inverse.sum(axis=0), lengths, size)
+    least = float((lengths * demand).sum()) / size
+    while use.sum() > (1 + gap) * least:
+        duals = inverse.sum(axis=0)
+        value, column = price(duals, lengths, size)
+        least = max(least, float((duals * demand).sum()) / max(value, 1.0))
         if value <= 1 + 1e-7:
             break
         move = (inverse * column).sum(axis=1)
@@ -209,7 +215,7 @@ def relaxed(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int) ->
     return list(zip(basis, use, strict=True))
 
 
-def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = 60) -> list[Pattern]:
+def plan(histogram: dict[int, int], size: int = SIZE, gap: float = GAP) -> list[Pattern]:
     """Patterns that hold each remainder of the histogram exactly once."""
     left = {n: c for n, c in sorted(histogram.items()) if n and c}
     out = []
@@ -223,7 +229,7 @@ def plan(histogram: dict[int, int], size: int = SIZE, rounds: int = 60) -> list[
 
     if left:
         lengths = np.array(list(left))
-        for column, often in sorted(relaxed(lengths, np.array(list(left.values()), float), size, rounds), key=lambda x: (-x[1], x[0].tolist())):
+        for column, often in sorted(relaxed(lengths, np.array(list(left.values()), float), size, gap), key=lambda x: (-x[1], x[0].tolist())):
             use([(int(n), int(k)) for n, k in zip(lengths[::-1], column[::-1], strict=True) if k], int(often + 1e-9))
     # what rounding left over: the longest, and what fills the rest best; a pattern that asks for more than there is takes what there is
     while left := {n: c for n, c in left.items() if c}:
@@ -257,7 +263,7 @@ def dealt(patterns: list[Pattern], size: int = SIZE) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in table.items()}
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE, rounds: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE, gap: float = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece of each row.
 
     A null or empty text has only the end id; repeated rows are packed each by itself; a null doc_id stays null; an empty table gives no
@@ -270,7 +276,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE, rounds:
     counts = kept(counts)
     histogram = {r["rest"]: r["n"] for r in counts.groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     n_halves = counts.agg(F.coalesce(F.sum("half"), F.lit(0)).alias("n")).first()["n"]
-    patterns = plan(histogram, size, rounds)
+    patterns = plan(histogram, size, gap)
     table, first_half = dealt(patterns, size), sum(p.times for p in patterns)
     first_full = first_half + (n_halves + 1) // 2
     ranks = counts.select("part", "rest", F.expr("sum(n) over (partition by rest order by part) - n").alias("rank_before"))

@@ -16,7 +16,7 @@ BYTE = public_tokenizers.path("byte_bpe_50k.json")
 def test_plan_holds_each_once_with_little_padding(seed):
     rng = random.Random(seed)
     histogram = {n: rng.randrange(0, 40) for n in rng.sample(range(1, 512), 300)} if seed else {300: 5000}
-    patterns = packing.plan(histogram, rounds=20)
+    patterns = packing.plan(histogram)
     held = defaultdict(int)
     for p in patterns:
         assert p.times > 0 and sum(n * k for n, k in p.lengths) <= 1024
