@@ -351,3 +351,17 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     others = [c for c in docs.columns if c != "doc_id"]
     first = attached(stay, several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
     return attached(stay, several, "doc_id", "left_anti").unionByName(first.select(*docs.columns))
+
+
+#: The rows of join() over documents whose ids are distinct and not null.
+ORACLE = r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [md5(array_to_string(w, ' '))]
+  else list_distinct(list_transform(range(1, cast(len(w) as bigint) - 3), lambda i: md5(array_to_string(w[i:i+4], ' ')))) end as g from d),
+e as (select doc_id, len(g) as n, unnest(g) as h from s),
+pairs as (select x.doc_id as a, y.doc_id as b, x.n as na, y.n as nb, count(*) as k from e x join e y on x.h = y.h and x.doc_id <> y.doc_id group by all),
+links as (select a, b from pairs where 100 * k >= 80 * (na + nb - k)),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b)
+select s.doc_id, cast(len(g) as bigint) as n_shingles, least(s.doc_id, coalesce(m.least, s.doc_id)) as component_id
+from s left join (select a, min(b) as least from reach group by 1) m on m.a = s.doc_id
+"""

@@ -75,5 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substrings": substring_dedup.ORACLE,
+    "op4_jaccard": jaccard_join.ORACLE,
     "op8_quality": quality.ORACLE,
 }

@@ -314,3 +314,17 @@ def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in names], names=names)
 
     return attached(keyed, found, [doc_id, key], "left").mapInArrow(trimmed(run), docs.schema)
+
+
+#: The rows of kept_texts() with digests over documents whose ids are distinct and not null.
+ORACLE = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, unnest(list_transform(range(1, cast(len(w) as bigint) - 48), lambda i: {'i': i, 'h': md5(array_to_string(w[i:i+49], ' '))})) as x from d where len(w) >= 50),
+f as (select x.h as h, min(doc_id) as first from win group by 1),
+r as (select doc_id, x.i as i from win join f on f.h = x.h where doc_id > first),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from r),
+words as (select doc_id, unnest(w) as word, unnest(range(1, cast(len(w) as bigint) + 1)) as p from d),
+left_ as (select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n from words anti join gone using (doc_id, p) group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(left_.n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join left_ using (doc_id)
+"""
