@@ -12,7 +12,7 @@ from quillstore.functions.text import escape_text, hex_bytes
 from quillstore.operators import rows as row_ops
 from quillstore.options import StoreOptions, bucket_count, round_up_power_of_two
 from quillstore.schema import unsigned
-from quillstore.sources.log import Log
+from quillstore.sources.log import Log, Manifest
 from quillstore.sources.migrate import write_legacy
 from quillstore.store import Store
 
@@ -138,6 +138,125 @@ def test_writers_of_distinct_rows(spark, path):
         assert s.row_count == 12 and s.get_row_struct("A", 11, "payload") == b"value-11"
 
 
+def test_threads_on_one_handle(spark, path):
+    with Store.open(spark, path, StoreOptions(buffer=5)) as s:
+
+        def write(n):
+            for r in range(6):
+                s.put_struct("C", f"{n}-{r}", b"%d" % n)
+                s.put_row_struct("R", n, f"{r}", b"%d" % r)
+
+        threads = [threading.Thread(target=write, args=(n,)) for n in range(4)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert s.entry_count == 24 and s.row_count == 4 and len(s.get_row("R", 3)) == 6
+
+
+def test_late_writer_after_a_snapshot(spark, path):
+    late = Store.open(spark, path)
+    with Store.open(spark, path) as s:
+        for i in range(3):
+            s.put_struct("C", "k", b"%d" % i)
+            s.flush()
+        s.put_row_structs("R", 1, [("a", b"first")])
+        s.snapshot()
+    late.put_struct("C", "k", b"late")
+    late.put_row_structs("R", 1, [("b", b"late")])
+    late.close()
+    with Store.open_read_only(spark, path) as s:
+        assert s.get_struct("C", "k") == b"late" and s.get_row("R", 1) == {b"b": b"late"}
+        seqs = [r.seq for r in s.log.read("objects", s._manifest.segments).collect()]
+        assert len(set(seqs)) == len(seqs) == 4
+
+
+def test_two_writers_of_the_same_unique_key(spark, path, monkeypatch):
+    a, b = Store.open(spark, path), Store.open(spark, path)
+    real = a.log.write
+
+    def slow(kind, *args):  # the other one commits while this one writes what it has validated
+        segment = real(kind, *args)
+        b.put_unique_structs("C", [("k", b"b")], validate=True)
+        return segment
+
+    monkeypatch.setattr(a.log, "write", slow)
+    with pytest.raises(InvalidArgumentError):
+        a.put_unique_structs("C", [("k", b"a"), ("other", b"a")], validate=True)
+    with Store.open_read_only(spark, path) as s:
+        assert s.entry_count == 1 and s.get_struct("C", "k") == b"b"
+
+
+def test_manifests_tell_what_they_add(spark, path):
+    log = Log(spark, path)
+    log.make()
+    m = Manifest()
+    assert log.commit(m)
+    for i in range(1, 40):
+        assert log.commit(m, [{"kind": "objects", "id": i, "unique": False, "first": i, "last": i}])
+        assert log.newest() == m and len(m.segments) == i
+    assert not log.commit(Manifest(id=m.id - 1), []) and log.newest() == m  # that number is taken
+    sizes = {x.getPath().getName(): x.getLen() for x in log.fs.listStatus(log.at("_manifest"))}
+    assert sizes["000000000039.json"] < sizes["000000000032.json"] / 3
+
+
+def test_plans_of_scans(spark, path):
+    with Store.open(spark, path, SMALL) as s:
+        for i in range(4):
+            s.put_row_structs("R", i % 2, [(f"k{i}", b"v" * 50), ("x", b"y")])
+            s.put_struct("C", f"k{i}", b"v")
+            s.flush()
+        spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+        plan = s.objects()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "rdd" not in plan.lower().replace("scan existingrdd", "")
+        keys = s.row_keys(b"R", 1)._jdf.queryExecution().executedPlan().toString()
+        schema = keys[keys.index("ReadSchema") :].split("\n")[0]
+        assert "value" not in schema and "PartitionFilters: [isnotnull(bucket" in keys
+        one = s.row_entry(b"R", 1, b"x", 5)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+        assert "EqualTo(key" in one and "EqualTo(row_id" in one
+        assert s.get_row_struct("R", 1, "x") == b"y" and s.get_row("R", 1) == {b"k3": b"v" * 50, b"x": b"y"}
+
+
+def test_segments_are_written_by_size(spark, path):
+    """A bucket isn't one task's: Spark splits it."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(20000).selectExpr("cast('k' || id as binary) as key", "cast(repeat(uuid(), 3) as binary) as value", "id as ordinal").repartition(8)
+        with Store.open(spark, path, StoreOptions(log_buckets=2)) as s:
+            s.put_structs("C", df)
+            files = s.log.read("objects", s._manifest.segments).inputFiles()
+            assert len(files) > 8 and s.entry_count == 20000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_moved_handles_and_dumps_as_files(spark, path, tmp_path):
+    s = Store.open(spark, path)
+    s.put_struct("C", "k", b"v")
+    t = s.moved()
+    assert not s.is_open and s.entry_count == 0 and t.get_struct("C", "k") == b"v"
+    with pytest.raises(NotOpenError):
+        s.get_struct("C", "k")
+    t.write_lines(t.dump(), f"file://{tmp_path}/dump")
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/dump").collect()] == t.lines(t.dump())
+    t.close()
+
+
+def test_row_index_grows_when_rebuilt_and_bounds_batches(spark, path):
+    rows = spark.range(20).selectExpr("cast('R' as binary) as column", "id as row_id", "'k' as key", "'v' as value", "id as ordinal")
+    with Store.open(spark, path, StoreOptions(initial_row_buckets=16)) as s:
+        s.put_rows(rows)
+        assert s.row_bucket_count == 16
+        s.snapshot()
+        assert s.row_bucket_count == 32
+    with Store.open(spark, path + "2", StoreOptions(initial_row_buckets=16, limit_rows=True)) as s:
+        with pytest.raises(InvalidArgumentError):
+            s.put_rows(rows)
+        s.put_rows(rows.where("row_id < 12"))
+        assert s.row_count == 12
+
+
 def test_read_only_phase(spark, path):
     with pytest.raises(InvalidArgumentError):
         Store.open_read_only(spark, path)
