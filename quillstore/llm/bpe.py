@@ -235,6 +235,8 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, repeated rows included; a null doc_id stays null.
 
+    Whole texts of any length are encoded, in time linear in it; other columns aren't read, whatever their names; an empty table gives none.
+
     A null text counts as empty: no tokens, both digests those of the empty string. It makes the digests run by run, so that ids never
     leave the worker, and needs no shuffle. Needs a file whose tokens decode one by one (no decoder in it); others go by encode_texts.
     """

@@ -342,7 +342,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all columns, of one document of each group: that of the smallest doc_id, one row of it. Rows of a null doc_id stay.
 
-    Only ids are joined to texts; texts are dealt by key only where a doc_id has several rows.
+    Null and empty texts link with nothing and stay, but of rows with one doc_id only the least stays; columns of any name pass through; no
+    rows give none. Only ids are joined to texts; texts are dealt by key only where a doc_id has several rows.
     """
     found = kept(join(docs, n, percent))
     gone = kept(found.where("component_id <> doc_id").select("doc_id").distinct())

@@ -163,7 +163,8 @@ def stored(text: str | None) -> tuple:
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
     """Every text stored as an image and read back: sizes, digests and feature; with_bytes adds media, the stored form, and its NPY tile.
 
-    One row for each row: a null or empty text gives one line of zeros, repeated rows repeat, very long texts give tall images.
+    One row for each row: a null or empty text gives one line of zeros, repeated rows repeat, very long texts give tall images, an empty
+    table gives none; other columns aren't read.
     feature is the difference hash and the start of the tile's digest, so equal texts have equal features.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -267,7 +267,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE, gap: flo
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece of each row.
 
     A null or empty text has only the end id; repeated rows are packed each by itself; a null doc_id stays null; an empty table gives no
-    pieces. Texts of any length are cut. Sequence ids count up from 0: first the
+    pieces; other columns aren't read. Of remainders of equal length, the earlier in the order of tasks and rows comes first. Texts of any length are cut. Sequence ids count up from 0: first the
     sequences that remainders share, then those of two halves, then the full ones. Only the histogram, of fewer than `size` numbers, and the patterns made of it are on the driver.
     """
     found = kept(measure(docs, path, end_id, size, id_col, text_col))

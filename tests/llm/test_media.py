@@ -1,4 +1,6 @@
 import hashlib
+import zlib
+import io
 
 import numpy as np
 import pytest
@@ -31,15 +33,35 @@ def test_plain_and_colour_forms():
     assert media.decode(bgr).tolist() == [[[1, 2, 3]]]
 
 
+def plain_resize(image, height, width):
+    """Each sample's share of each input sample's area, summed one by one."""
+
+    def shares(n, m):
+        out = np.zeros((m, n))
+        for i in range(m):
+            low, high = i * n / m, (i + 1) * n / m
+            for j in range(int(low), min(n, int(np.ceil(high)))):
+                out[i, j] = max(0.0, min(high, j + 1) - max(low, j))
+        return out / (n / m)
+
+    return shares(image.shape[0], height) @ image.astype(float) @ shares(image.shape[1], width).T
+
+
 def test_texts(spark):
-    rows = [(1, "abc", "x"), (2, None, "x"), (3, "", "x"), (None, "é" * 5000, "x"), (1, "abc", "y")]
+    rows = [(1, "abc", "x"), (2, None, "x"), (3, "", "x"), (None, "é" * 5000, "x"), (1, "abc", "y"), (5, "long text " * 9000, "x")]
     got = media.text_media(spark.createDataFrame(rows, "doc_id long, text string, feature string")).collect()
-    assert len(got) == 5
+    assert len(got) == 6
     for r, (i, text, _) in zip(got, rows, strict=True):
         data = (text or "").encode()
         payload = data + b"\0" * (64 if not data else -len(data) % 64)
         assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) == (i, len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert media.decode(r.media).tobytes() == payload and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
+        assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes == len(r.media) == len(payload) + len(b"P5\n64 %d\n255\n" % (len(payload) // 64))
+        grid, tile = np.frombuffer(payload, np.uint8).reshape(-1, 64), np.load(io.BytesIO(r.tile))
+        assert r.feature.split(":")[1] == hashlib.sha256(r.tile).hexdigest()[:16] and (tile == np.rint(plain_resize(grid, 8, 8))).all()
+        small = np.rint(plain_resize(grid, 8, 9) * 1e6)
+        bits = "".join("1" if small[y, x] < small[y, x + 1] else "0" for y in range(8) for x in range(8))
+        assert r.feature.split(":")[0] == f"{int(bits, 2):016x}"
     assert got[0].feature == got[4].feature
     assert media.text_media(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -48,7 +70,5 @@ def test_tiles(spark):
     image = np.arange(100, dtype=np.uint8).reshape(10, 10)
     df = spark.createDataFrame([(1, bytearray(media.encode_bmp(image))), (2, bytearray(b"junk")), (3, None)], "media_id long, data binary")
     a, b, c = media.tiles(df, height=10, width=10).orderBy("media_id").collect()
-    import io
-
     assert (np.load(io.BytesIO(a.tile)) == image).all() and a.dhash == "f" * 16
     assert b.error and c.error and b.tile is None

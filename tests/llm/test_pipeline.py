@@ -66,3 +66,31 @@ def test_run_against_plain_steps(spark, tmp_path):
             assert own == [(a, b - a, crc(ids[a:b])) for a, b in packing.cuts(len(ids), 1024)]
         else:
             assert sum(n for _, n, _ in own) < len(ids)
+
+
+def test_stages_pass_columns_of_any_name(spark, tmp_path):
+    """Names that stages use inside, very long and odd texts, and types of columns stay as they are."""
+    names = ["key", "ranges", "copy", "bad_key", "bad_id", "node", "hi", "rows", "own_key", "score"]
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(30)]
+    texts[3], texts[9], texts[11] = passage + " " + texts[3], texts[9] + "\n" + passage, " ".join(f"w{rng.randrange(9000)}" for _ in range(60_000))
+    rows = [(i, t, "en", "s", len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    schema = "doc_id int, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [x.split()[0] for x in schema.split(", ")], name
+    want = {r[0]: r for r in rows}
+    short = want[9][1].replace("\n" + passage, "")
+    want[9] = (9, short, "en", "s", len(short), *want[9][5:])
+    assert {r.doc_id: tuple(r) for r in docs.collect()} == want
+
+
+def test_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, kind in (("documents", schema), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

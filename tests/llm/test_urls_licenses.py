@@ -136,6 +136,13 @@ def test_every_mention_is_a_candidate():
     assert names("copyright " * 20000) == []
 
 
+def test_ties_go_to_the_longer_then_the_earlier_template():
+    """A notice that two templates fit whole: the one of the larger saving, and of more words where both save the same."""
+    long = next(t for n, t in license_scan.TEMPLATES if n == "Apache-2.0" and "obtain" in t)
+    (start, name, _, differing), = license_scan.scan(long)
+    assert (start, name, differing) == (0, "Apache-2.0", [])
+
+
 def test_scan_rows(spark):
     rows = [(1, "x\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", 0), (2, None, 0), (None, "", 0), (1, "y " * 50000 + "\nLicensed under the Apache License, Version 2.0.", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, notices int")
