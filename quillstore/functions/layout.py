@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of file, record and block headers and of a key bucket.
 FILE_HEADER, RECORD_HEADER, BLOCK_HEADER, KEY_BUCKET = 24, 24, 72, 48
+#: Numbers of seq whose records one task sums.
+CHUNK = 1 << 16
 
 
 def record_size(column: Column, key: Column, value: Column) -> Column:
@@ -17,14 +19,16 @@ def record_offsets(log: DataFrame, segment: str | None = None) -> DataFrame:
     """Adds record_size, record_offset and value_offset, in the order of seq.
 
     Offsets depend on all that was written before. Sums by segment (seq >> 32 unless named) come first, so only one number for each
-    segment is ever in one task, not the log.
+    segment is ever in one task, then sums by CHUNK numbers of seq in a segment, and the records of a chunk last: no task has a segment.
     """
-    sized = log.withColumn("record_size", record_size(F.col("column"), F.col("key"), F.col("value")).cast("long")).withColumn("segment", F.col(segment) if segment else F.shiftright("seq", 32))
-    sums = sized.groupBy("segment").agg(F.sum("record_size").alias("bytes"))
-    before = sums.select("segment", (F.sum("bytes").over(Window.orderBy("segment")) - F.col("bytes")).alias("before"))
-    inside = F.sum("record_size").over(Window.partitionBy("segment").orderBy("seq")) - F.col("record_size")
-    placed = sized.withColumn("inside", inside).join(before, "segment").withColumn("record_offset", F.lit(FILE_HEADER) + F.col("before") + F.col("inside"))
-    return placed.withColumn("value_offset", F.col("record_offset") + RECORD_HEADER + F.octet_length("column") + F.octet_length("key")).drop("segment", "inside", "before")
+    sized = log.withColumn("record_size", record_size(F.col("column"), F.col("key"), F.col("value")).cast("long")).withColumns({"segment": F.col(segment) if segment else F.shiftright("seq", 32), "chunk": F.expr(f"seq div {CHUNK}")})
+    chunks = sized.groupBy("segment", "chunk").agg(F.sum("record_size").alias("bytes"))
+    sums = chunks.groupBy("segment").agg(F.sum("bytes").alias("all"))
+    before = sums.select("segment", (F.sum("all").over(Window.orderBy("segment")) - F.col("all")).alias("before"))
+    upto = chunks.select("segment", "chunk", (F.sum("bytes").over(Window.partitionBy("segment").orderBy("chunk")) - F.col("bytes")).alias("upto")).join(before, "segment")
+    inside = F.sum("record_size").over(Window.partitionBy("segment", "chunk").orderBy("seq")) - F.col("record_size")
+    placed = sized.withColumn("inside", inside).join(upto, ["segment", "chunk"]).withColumn("record_offset", F.lit(FILE_HEADER) + F.col("before") + F.col("upto") + F.col("inside"))
+    return placed.withColumn("value_offset", F.col("record_offset") + RECORD_HEADER + F.octet_length("column") + F.octet_length("key")).drop("segment", "chunk", "inside", "before", "upto")
 
 
 def power_of_two(n: Column) -> Column:

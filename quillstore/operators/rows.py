@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import REPLACE
@@ -15,11 +15,13 @@ ENTRY = [*ROW, "key"]
 def live_rows(log: DataFrame, commit: str | None = None) -> DataFrame:
     """The live entries of a log (column, row_id, key, value, kind, seq): since a row's last replacement, the last value of each key.
 
-    commit names the column whose equal values are one batch; by default seq >> 32. One partitioning by row serves both windows.
+    commit names the column whose equal values are one batch; by default seq >> 32. Last replacements are numbers by row, aggregated before
+    the shuffle and joined back, so the mutations of a row that has very many needn't meet in one task.
     """
     batch = F.col(commit) if commit else F.shiftright("seq", 32)
-    based = log.withColumn("_batch", batch).withColumn("_base", F.max(F.when(F.col("kind") == REPLACE, F.col("_batch"))).over(Window.partitionBy(*ROW)))
-    since = based.where(F.col("_base").isNull() | (F.col("_batch") >= F.col("_base"))).drop("_batch", "_base")
+    base = log.where(F.col("kind") == REPLACE).groupBy(F.col("column").alias("_column"), F.col("row_id").alias("_row")).agg(F.max(batch).alias("_base"))
+    based = log.withColumn("_batch", batch).join(base, (F.col("column") == F.col("_column")) & (F.col("row_id") == F.col("_row")), "left")
+    since = based.where(F.col("_base").isNull() | (F.col("_batch") >= F.col("_base"))).drop("_batch", "_base", "_column", "_row")
     return latest(since, ENTRY)
 
 
