@@ -322,11 +322,11 @@ class Store:
         return self._log("rows").where((F.col("bucket") == bucket_of("rows", self._manifest.buckets, column=column, row_id=bits)) & (F.col("column") == F.lit(column)) & (F.col("row_id") == bits))
 
     def point_row(self, column: bytes, bits: int) -> DataFrame:
-        return row.live_rows(self._point(column, bits))
+        return row.live_row(self._point(column, bits))
 
     def row_keys(self, column: bytes, bits: int) -> DataFrame:
         """column, row_id, key, kind, seq of a row's live entries; their values aren't read."""
-        return row.live_rows(self._point(column, bits).drop("value", "bucket"))
+        return row.live_row(self._point(column, bits).drop("value", "bucket"))
 
     def get_row(self, column, row_id: int) -> dict[bytes, bytes]:
         self._need_open()
