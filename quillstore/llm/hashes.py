@@ -1,9 +1,10 @@
 """Hashes of words and of their windows, and compact exchange of many of them between tasks.
 
 Rows of two or three numbers cost Spark several times their size on the way. Here a task sorts what it has gathered, packs the part for
-each bucket into one binary value, and the task that gets the bucket unpacks arrays. A packed value has PER_ROW entries on average at
-any size of the input: a task gathers the more, the more buckets there are, and beyond FAN buckets entries are dealt in several rounds,
-to ranges of buckets first. So rows, and the bytes around them, grow as the entries do.
+each bucket into one binary value, and the task that gets the bucket unpacks arrays. A packed value has PER_ROW entries on average, or
+HELD / FAN of them at least where buckets are many: a task gathers the more, the more buckets there are, and beyond FAN buckets entries are
+dealt in several rounds, to ranges of buckets first. So rows, and the bytes around them, grow as the entries do. A round sends all
+entries once more, so FAN is as large as values stay long enough to pack well.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .text import trimmed
 
 #: Entries of a packed value, on average.
 PER_ROW = 8192
-#: Buckets that a round deals to. A task gathers at most PER_ROW * FAN entries.
-FAN = 256
+#: Buckets that a round deals to.
+FAN = 1024
+#: Entries that a task gathers at most.
+HELD = 1 << 21
 #: Entries of all tasks for each task that receives.
 PER_TASK = 2_000_000
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -179,7 +182,7 @@ class Deal:
     @property
     def flush(self) -> int:
         """Entries that a task gathers before it sends them."""
-        return self.per_row * min(self.buckets, self.fan)
+        return min(self.per_row * min(self.buckets, self.fan), HELD)
 
     @property
     def widths(self) -> list[int]:

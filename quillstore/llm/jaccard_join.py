@@ -2,7 +2,8 @@
 
 Every text is its set of word n-grams, as 64-bit hashes. Two sets are linked when their Jaccard similarity reaches the threshold. Exactly:
 1. Equal sets become one node. A node with more n-grams that no other node has than its similarity allows has no links and is settled:
-   one exchange counts them.
+   one exchange counts them. Part of a node's n-grams mostly shows it: the exchange has those whose hashes a number
+   divides, of all nodes, so one that is alone there is alone. Nodes that aren't settled by these go on to the exact steps.
 2. What is left is globally ordered, n-grams of few nodes first. Similar sets share an n-gram in their prefixes, so nodes that do are in
    one block, and no link leaves a block.
 3. In parts of a block, sets ordered by the commonest n-gram first go into a trie. A set walks it with one overlap for all sets that share a path;
@@ -47,6 +48,11 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
+def divisor(percent: int) -> int:
+    """Step 1 counts the n-grams whose hashes this divides: 3 at 80 %, where a third of a set is well over the fifth that must be lone."""
+    return min(8, max(1, 60 // max(1, 100 - percent)))
+
+
 def sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles and the set's 128-bit digest of every row."""
 
@@ -81,10 +87,11 @@ def summed(parts: list[Entries]) -> Entries:
     return Entries(one, columns=[np.bincount(inverse, weights=np.concatenate([e.columns[0] for e in parts]), minlength=len(one)).astype(np.uint64)])
 
 
-def lone(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """lo, lone: for each set, how many of its n-grams no other set has. Sets without any are missing.
+def lone(docs: DataFrame, n: int, buckets: int, every: int = 1) -> DataFrame:
+    """lo, lone: for each set, how many of its n-grams with hashes that `every` divides no other set has. Sets without any are missing.
 
-    N-grams are compared by 48 bits; a chance equality can only make the count too low, which keeps a node for the exact steps.
+    So a set has that many lone n-grams at least. N-grams are compared by 48 bits; a chance equality can only make the count too low, too,
+    which keeps a node for the exact steps.
     """
     by_ngram, by_set = Deal(buckets, 48, twice), Deal(buckets, 64, added)
 
@@ -92,8 +99,9 @@ def lone(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 x = ngrams(text, n)
-                if len(x):
-                    yield hashes.digest(x)[1], x
+                shown = x[x % np.uint64(every) == 0]
+                if len(shown):
+                    yield hashes.digest(x)[1], shown
 
     def made(held):
         held = list(dict(held).items())  # equal sets once
@@ -323,7 +331,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     usable = found.where("doc_id is not null and n_shingles > 0")
     groups = kept(usable.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("node")))
     total = groups.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
-    few = kept(lone(own.where("doc_id is not null"), n, spread(spark, total, hashes.PER_TASK)))
+    every = divisor(percent)
+    few = kept(lone(own.where("doc_id is not null"), n, spread(spark, -(-total // every), hashes.PER_TASK), every))
     left = groups.join(few, "lo", "left").where(F.expr(f"coalesce(lone, 0) <= n_shingles - ({percent} * n_shingles + 99) div 100"))
     left = kept(left.select(F.col("node").alias("doc_id"), "hi", "lo"))
 

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from . import hashes
 from .hashes import ANSWERS, Deal, Entries, Gathered
-from .text import attached, fresh, kept, spread, texts, trimmed, words
+from .text import attached, bounded, fresh, kept, spread, texts, trimmed, words
 
 WINDOW = 50
+#: Repeated ids that are broadcast at most.
+FEW = 200_000
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -39,6 +41,19 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(trimmed(run), "doc_id long, key long, n_words long, hi long, lo long")
 
 
+def identified(docs: DataFrame, doc_id: str = "doc_id", key: str = "key") -> DataFrame:
+    """docs with a key that tells the texts of a doc_id apart: a hash of the text, but 0 where no other row has the doc_id.
+
+    Packed values name their texts, and hashes are most of a name's bytes. A table with more than FEW repeated ids has hashes everywhere, so
+    that texts need not be dealt by id.
+    """
+    several = kept(docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.count("*").alias(key)).where(F.col(key) > 1))
+    n, hashed = several.count(), F.xxhash64(docs["text"].cast("string"))
+    if n > FEW:
+        return docs.withColumn(key, hashed)
+    return docs.join(F.broadcast(several), doc_id, "left").withColumn(key, F.when(F.col(key).isNotNull(), hashed).otherwise(F.lit(0)).cast("long"))
+
+
 def runs(positions: np.ndarray, reach: int, last: int) -> np.ndarray:
     """Starts and ends, one after the other, of the window starts within `reach` before the positions, from 0 to last."""
     if not len(positions):
@@ -275,7 +290,7 @@ def kept_texts(docs: DataFrame, window: int = WINDOW, digest: bool = False, id_c
     doc_id neither lose words nor cost others any. Rows with one doc_id are one document, whose texts cost each other nothing. An empty
     table gives none. Texts of any length.
     """
-    own = texts(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+    own = identified(texts(docs, id_col, text_col))
     last = "kept_sha256" if digest else "kept"
 
     def run(batches):
@@ -297,9 +312,10 @@ def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Null and empty texts stay as they are, and so do rows of a null doc_id; repeated rows lose the same words; no rows give none.
     """
-    own = texts(docs).withColumn("key", F.xxhash64("text"))
+    bounded(docs.sparkSession)
     names, doc_id, key, ranges_, copy = docs.columns, *(fresh(docs, x) for x in ("own_id", "own_key", "own_ranges", "own_copy"))
-    keyed = docs.withColumns({doc_id: docs["doc_id"].cast("long"), key: F.xxhash64(docs["text"].cast("string"))})
+    keyed = identified(docs.withColumn(doc_id, docs["doc_id"].cast("long")), doc_id, key)
+    own = keyed.select(F.col(doc_id).alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(key).alias("key"))
     found = repeats(own, window).withColumnsRenamed({"doc_id": doc_id, "key": key, "ranges": ranges_, "copy": copy})
 
     def run(batches):

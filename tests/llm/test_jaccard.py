@@ -140,3 +140,21 @@ def test_hot_keys_are_sent_few_times():
     ids = np.arange(1000, dtype=np.int64)
     e = hashes.sorted_entries(np.full(1000, 9, np.uint64), np.arange(1000), [], [ids])
     assert len(jaccard_join.twice({0: e})[0]) == 2
+
+
+def test_one_round_up_to_a_thousand_buckets():
+    """6 GB of texts have some 700 buckets: a second round would send all entries once more."""
+    assert hashes.Deal(700).widths == [1] and hashes.Deal(3500).widths[-1] == 1 < len(hashes.Deal(3500).widths)
+    assert hashes.Deal(700).flush <= hashes.HELD and hashes.Deal(4).flush == 4 * hashes.PER_ROW
+
+
+def test_part_of_the_ngrams_settles_sets(spark):
+    """The count is of a third of the n-grams, never over the whole, and enough to tell that a text of its own has no link."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts + [texts[0] + " more"])), "doc_id long, text string")
+    assert [jaccard_join.divisor(p) for p in (0, 50, 80, 90, 100)] == [1, 1, 3, 6, 8]
+    whole, part = ({r.lo: r.lone for r in jaccard_join.lone(docs, 5, 4, every).collect()} for every in (1, 3))
+    near = {hashes.digest(jaccard_join.ngrams(t, 5))[1] for t in (texts[0], texts[0] + " more")}
+    assert all(part[k] <= whole[k] for k in part)
+    assert all(79 < part[k] < 200 and whole[k] == 396 for k in whole if k not in near) and all(part.get(k, 0) <= 1 for k in near)

@@ -70,3 +70,18 @@ def test_a_common_passage_is_sent_once_for_each_task():
     assert len(got[sd.PROBES]) == 3 and set(got[sd.PROBES].of(0).tolist()) == {0} and len(got[hashes.ANSWERS]) == 297
     met = sd.met({sd.PROBES: probes, sd.BLOCKS: hashes.Entries(np.array([7], np.uint64), columns=[np.array([0]), np.array([0])])})
     assert len(met[sd.PROBES]) == 0 and len(met[hashes.ANSWERS]) == 300
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_texts_are_named_by_their_ids_alone_where_these_differ(spark, few, monkeypatch):
+    """Hashes of texts would be most of what a packed value holds; only ids with several rows have them, or all where such ids are many."""
+    monkeypatch.setattr(sd, "FEW", few)
+    rows = [(1, "a b"), (2, "c"), (2, "d"), (None, "e"), (3, None), (None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text): r.key for r in sd.identified(docs).collect()}
+    assert got.keys() == set(rows) and got[(2, "c")] != got[(2, "d")] and 0 not in (got[(2, "c")], got[(2, "d")])
+    assert all((got[k] == 0) == bool(few) for k in ((1, "a b"), (3, None)))
+    rows = corpus(5, 60)
+    rows += [(rows[3][0], rows[9][1]), (rows[3][0], rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, sd.kept_texts(docs, digest=True).collect()), key=str) == brute(rows, 50)
