@@ -6,16 +6,15 @@ Every text is its set of word n-grams, as 64-bit hashes. Two sets are linked whe
    divides, of all nodes, so one that is alone there is alone. Nodes that aren't settled by these go on to the exact steps.
 2. What is left is globally ordered, n-grams of few nodes first. Similar sets share an n-gram in their prefixes, so nodes that do are in
    one block, and no link leaves a block.
-3. In parts of a block, sets ordered by the commonest n-gram first go into a trie. A set walks it with one overlap for all sets that share a path;
-   subtrees go that are out of reach by their sizes and remaining lengths, or whose sets all are in the set's component already. So a
-   group of near copies costs a walk for each, not one for each pair.
+3. In parts of a block, sets that have enough n-grams in common with others go into a trie, the commonest n-gram first. A set walks it with
+   one overlap for all sets that share a path; subtrees go that are out of reach by their sizes and remaining lengths, or whose sets all are
+   in the set's component already. So a group of near copies costs a walk for each, not one for each pair.
 Links are contracted to components.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -166,9 +165,10 @@ class Trie:
         elif self.alike and root(self.one) != root(which):
             self.alike = False
 
-    def insert(self, which: int, path: list[int], root) -> None:
+    def insert(self, which: int, n: int, path: list[int], root) -> None:
+        """Adds a set of n numbers, of which the path has those that count."""
         node, at, size = self, 0, len(path)
-        node.take(which, size, size, root)
+        node.take(which, n, size, root)
         while at < size:
             child = node.below.get(path[at])
             if child is None:
@@ -187,13 +187,13 @@ class Trie:
                     node.below[path[at]] = upper
                     child = upper
                 at += k
-            child.take(which, size, size - at, root)
+            child.take(which, n, size - at, root)
             node = child
-        node.ends.append((which, size))
+        node.ends.append((which, n))
 
-    def similar(self, which: int, path: list[int], percent: int, root, join) -> None:
-        """Joins `which` to every set here that is similar to the path and not yet in its component."""
-        own, n = set(path), len(path)
+    def similar(self, which: int, n: int, path: list[int], percent: int, root, join) -> None:
+        """Joins `which`, a set of n numbers with this path, to every set here that is similar and not yet in its component."""
+        own, most = set(path), len(path)
         stack = [(self, 0)]
         while stack:
             node, overlap = stack.pop()
@@ -204,10 +204,10 @@ class Trie:
                 continue
             need = (node.low + n) * percent
             if node.run:
-                if (100 + percent) * (overlap + min(n, len(node.run) + node.deep)) < need:
+                if (100 + percent) * (overlap + min(most, len(node.run) + node.deep)) < need:
                     continue
                 overlap += len(own.intersection(node.run))
-                if (100 + percent) * (overlap + min(n - bisect_right(path, node.run[-1]), node.deep)) < need:
+                if (100 + percent) * (overlap + min(most - bisect_right(path, node.run[-1]), node.deep)) < need:
                     continue
             for other, size in node.ends:
                 if 100 * overlap >= percent * (n + size - overlap):
@@ -215,16 +215,48 @@ class Trie:
             stack += [(child, overlap) for child in node.below.values()]
 
 
+def shared(first: list[np.ndarray], second: list[np.ndarray], percent: int) -> list[tuple[int, list[int]]]:
+    """Index and path of each set that can have a link: its n-grams that another set has (with a second: one of the other side), commonest first.
+
+    Only these are in an overlap. A set that has fewer than any link needs has none and is left out, and then others' n-grams may be lone, too.
+    """
+    both = [*first, *second]
+    sizes = np.array([len(x) for x in both])
+    owner = np.repeat(np.arange(len(both)), sizes)
+    tokens, place = np.unique(np.concatenate(both), return_inverse=True)
+    least = needed(sizes, percent)
+    here = np.ones(len(both), bool)
+    while True:
+        alive = here[owner]
+        if second:
+            mine = owner < len(first)
+            n, m = (np.bincount(place[alive & side], minlength=len(tokens)) for side in (mine, ~mine))
+            often = np.where((n > 0) & (m > 0), n + m, 0)
+        else:
+            often = np.bincount(place[alive], minlength=len(tokens))
+            often[often < 2] = 0
+        counts = alive & (often[place] > 0)
+        left = here & (np.bincount(owner[counts], minlength=len(both)) >= least)
+        if (left == here).all():
+            break
+        here = left
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.lexsort((tokens, -often))] = np.arange(len(tokens))
+    owner, place = owner[counts], rank[place[counts]]
+    order = np.lexsort((place, owner))
+    edges = np.searchsorted(owner, np.arange(len(both) + 1))
+    place = place[order].tolist()
+    return [(i, place[edges[i] : edges[i + 1]]) for i in np.flatnonzero(here).tolist()]
+
+
 def linked(first: list[np.ndarray], second: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links among first or, if there is a second, between the two, as far as they join components. Indices count on from first to second.
 
     known: the component of each so far, if any is known.
     """
-    both = [*first, *second]
-    often = Counter(np.concatenate(both).tolist())
-    place = {t: i for i, t in enumerate(sorted(often, key=lambda t: (-often[t], t)))}
+    sizes = [len(x) for x in (*first, *second)]
     leads: dict[int, int] = {}
-    up, out = [leads.setdefault(c, i) for i, c in enumerate(known)] if known else list(range(len(both))), []
+    up, out = [leads.setdefault(c, i) for i, c in enumerate(known)] if known else list(range(len(sizes))), []
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -239,12 +271,11 @@ def linked(first: list[np.ndarray], second: list[np.ndarray], percent: int, know
             out.append((i, j))
 
     trie = Trie([])
-    for i, x in enumerate(both):
-        path = sorted(place[t] for t in x.tolist())
+    for i, path in shared(first, second, percent):
         if i >= len(first) or not second:
-            trie.similar(i, path, percent, root, join)
+            trie.similar(i, sizes[i], path, percent, root, join)
         if i < len(first):
-            trie.insert(i, path, root)
+            trie.insert(i, sizes[i], path, root)
     return out
 
 

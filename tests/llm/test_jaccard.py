@@ -158,3 +158,14 @@ def test_part_of_the_ngrams_settles_sets(spark):
     near = {hashes.digest(jaccard_join.ngrams(t, 5))[1] for t in (texts[0], texts[0] + " more")}
     assert all(part[k] <= whole[k] for k in part)
     assert all(79 < part[k] < 200 and whole[k] == 396 for k in whole if k not in near) and all(part.get(k, 0) <= 1 for k in near)
+
+
+def test_sets_short_of_common_ngrams_stay_out_of_the_trie():
+    """Versions of a text that all differ by more than a link allows: none is compared, and a link beside them is found."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 400)
+    versions = [np.unique(np.concatenate([base[rng.random(400) < 0.86], rng.integers(0, 1 << 62, 90)])) for _ in range(40)]
+    assert jaccard_join.shared(versions, [], 80) == [] == jaccard_join.shared(versions[:20], versions[20:], 80)
+    close = np.append(versions[7][:-3], 1 << 62)
+    assert [i for i, _ in jaccard_join.shared([*versions, close], [], 80)] == [7, 40] and jaccard_join.linked([*versions, close], [], 80) == [(40, 7)]
+    assert jaccard_join.linked(versions, [close], 80) == [(40, 7)]
