@@ -69,6 +69,24 @@ def test_given_labels(spark):
     assert got == {1: "block", 2: "allow", None: "allow"}
 
 
+def test_rare_items_of_urls_with_many(spark):
+    """A rule of the two items that the fewest blocked URLs have, each of which has fourteen commoner ones that decide nothing."""
+    row = lambda r, x, y: "http://h.org/" + "/".join("z" if (r + k) % 17 == 0 else f"a{k}" for k in range(14)) + f"/{x}/{y}"
+    labels = [(row(r, "p", "q"), True) for r in range(6)] + [(row(r, f"x{r}", f"y{r}"), True) for r in range(20)]
+    labels += [(row(r, *(("p", f"y{r}") if r % 2 else (f"x{r}", "q"))), False) for r in range(40)]
+    pages = spark.createDataFrame([(1, row(90, "p", "q")), (2, row(90, "p", "v")), (3, row(90, "v", "q")), (4, row(90, "v", "v"))], "page_id long, url string")
+    got = url_rules.judged(pages, [], url_rules.Options(min_count=5), spark.createDataFrame(labels, "url string, blocked boolean")).collect()
+    assert {r.page_id: r.matched for r in got} == {1: "path 14 p & path 15 q", 2: None, 3: None, 4: None}
+
+
+@pytest.mark.parametrize("n,size,width", [(3, 3, 10), (11, 3, 10), (23, 3, 10), (9, 2, 4), (5, 3, 2)])
+def test_parts_have_every_combination(n, size, width):
+    found = list(map(str, range(n)))
+    parts = list(url_rules.covered(found, size, width))
+    assert all(len(p) <= max(width, size) for p in parts)
+    assert all(any(set(c) <= set(p) for p in parts) for k in range(1, size + 1) for c in combinations(found, k))
+
+
 @pytest.mark.parametrize("name,text", license_scan.TEMPLATES)
 def test_templates_find_themselves(name, text):
     for shown in (text, text.upper(), f"Words before.\n{text}\nWords after it, many of them.", text.replace("under", "under\t")):
